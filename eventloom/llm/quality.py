@@ -17,7 +17,6 @@ from eventloom.llm.common import WORD, words
 
 #: Rows from the sample on which costs and rejections are estimated. It decides the order of the rules, never a verdict.
 SAMPLE_ROWS = 500
-_NO_WORDS = F.array().cast("array<string>")
 
 
 @dataclass(frozen=True)
@@ -92,7 +91,7 @@ RULES: tuple[Rule, ...] = (
     Rule("symbols", lambda t: n_symbols(t) * 5 > n_words(t)),
     Rule("capitals", lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")) * 10 > F.length(t) * 3),
     Rule("repeated_lines", lambda t: F.get(F.transform(F.array(word_lines(t)), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 2 > F.size(x)), 0)),
-    Rule("word_length", lambda t: _with_words(t, lambda w: ~(F.length(F.array_join(w, "")) / F.size(w)).between(2, 15))),
+    Rule("word_length", lambda t: _with_words(t, lambda w: ~F.length(F.array_join(w, "")).between(F.size(w) * 2, F.size(w) * 15))),
     Rule("repeated_words", lambda t: _with_words(t, lambda w: repeat_words(w) * 100 > F.size(w) * 50)),
 )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import line_dedup, mixing, quality, sharding
+from eventloom.llm import licenses, line_dedup, media, mixing, pieces, quality, sharding, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +42,37 @@ FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = warc.records_of(warc.read(spark, warc.write(warc.plan_records(pages)), payloads=False))
+    kind = pages.schema["page_id"].dataType
+    return found.select(F.col("id").cast(kind).alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan_mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"), "source", F.size("copies").alias("copies"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.read(media.encode(_table(spark, sf_dir, "documents")))
+    clips = F.array_join(F.transform("clips", lambda c: F.format_string("%.2f-%.2f", c["start_s"], c["end_s"])), ",")
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.concat(F.lit("clips="), clips), F.concat(F.lit("histogram="), F.array_join(F.col("histogram").cast("array<string>"), ","))).alias("feature"),
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -72,8 +98,30 @@ FROM b
 """
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf_dir, "documents"))
+    starts, named = F.transform("base", lambda x: x["start"]), F.transform("base", lambda x: x["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(named).alias("base_labels"),
+        joined(F.concat(named, F.transform("found", lambda x: x["label"]))).alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("found", lambda x: x["confidence"])), F.lit(0.0))).alias("score"),
+    )
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op4_mixing, op7_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_warc, op4_mixing, op5_token_counts, op6_media, op7_quality, op9_licenses, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
