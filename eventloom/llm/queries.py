@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import licenses, line_dedup, media, mixing, pieces, quality, sharding, token_counts, warc
+from eventloom.llm import licenses, line_dedup, media, mixing, near, pieces, quality, sharding, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,11 @@ FROM b
 """
 
 
+def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near.near_classes(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(_table(spark, sf_dir, "documents"))
     starts, named = F.transform("base", lambda x: x["start"]), F.transform("base", lambda x: x["label"])
@@ -121,7 +126,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_warc, op4_mixing, op5_token_counts, op6_media, op7_quality, op9_licenses, op10_pieces)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_warc, op4_mixing, op5_token_counts, op6_media, op7_quality, op8_near, op9_licenses, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
