@@ -8,7 +8,7 @@ ids are joined back by position. The table is emptied when it is full, which cos
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
@@ -61,24 +61,25 @@ def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, rows)
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, end: bool = True) -> DataFrame:
-    """(key, ids): the ids of each whole text as the library gives them, with the end id last if end is set.
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, end: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carry..., ids): the ids of each whole text as the library gives them, with the end id last if end is set.
 
-    A null text is an empty one, which has no ids but the end's. Repeated rows are encoded alike and all stay; other
-    columns are not looked at; an empty table gives no rows.
+    A null text is an empty one, which has no ids but the end's. Repeated rows are encoded alike and all stay; columns
+    not named in carry are not looked at; an empty table gives no rows.
     """
     path = model or default_model()
-    kind = docs.schema[key].dataType.simpleString()
+    own = [key, *(c for c in carry if c not in (key, "ids"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(path)
         tail = [table.sp.eos_id()] if end else []
         for batch in batches:
             for part in _parts(batch):
-                ids = [x + tail for x in table.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
+                ids = [x + tail for x in table.encode(part.column(len(own)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(ids, pa.list_(pa.int32()))], [*own, "ids"])
 
-    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
+    return docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("\0text")).mapInArrow(run, f"{fields}, ids array<int>")
 
 
 def decode(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", model: str | None = None) -> DataFrame:
