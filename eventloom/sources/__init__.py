@@ -1,0 +1,102 @@
+"""Readers and writers of documents, corpora and reports."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+TEXT_SUFFIXES = ("md", "markdown", "txt", "html", "htm", "csv", "json", "xml")
+#: Read as bytes; a decoder must be given to documents().
+BINARY_SUFFIXES = ("docx", "doc", "pptx", "ppt", "xlsx", "xls", "pdf", "png", "jpg", "jpeg")
+
+
+def html_to_text(html):
+    """Title and body of a page as text: scripts, styles and tags go, blocks end lines, entities are read."""
+    t = F.regexp_replace(html, r"(?is)<(script|style|nav|footer)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", " ")
+    t = F.regexp_replace(t, r"(?is)<title[^>]*>(.*?)</title>", "# $1\n\n")
+    for level in range(1, 7):
+        t = F.regexp_replace(t, rf"(?is)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
+    t = F.regexp_replace(t, r"(?is)</(p|div|h[1-6]|li|tr|table|ul|ol|section|article)\s*>|<br\s*/?>", "\n")
+    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        t = F.replace(t, F.lit(name), F.lit(sign))
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
+    return F.trim(F.regexp_replace(t, r"^\s+|\s+$", ""))
+
+
+def documents(spark: SparkSession, path: str, recursive: bool = True, decode=None) -> DataFrame:
+    """(path, suffix, text): the supported files of a folder; corrupt and empty ones are skipped, others aren't read.
+
+    Markdown is taken as it is, HTML as text. decode: a function from a column of bytes and one of suffixes to text,
+    for the binary formats, which are left out without it.
+    """
+    suffixes = TEXT_SUFFIXES + (BINARY_SUFFIXES if decode else ())
+    glob = "*.{" + ",".join(suffixes) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).load(path)
+    files = files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), "content")
+    raw = F.decode("content", "UTF-8")
+    text = F.when(F.col("suffix").isin("html", "htm"), html_to_text(raw)).when(F.col("suffix").isin(*TEXT_SUFFIXES), raw)
+    if decode:
+        text = text.otherwise(decode(F.col("content"), F.col("suffix")))
+    return files.select("path", "suffix", text.alias("text")).where(F.length(F.trim("text")) > 0)
+
+
+def conversation(messages: DataFrame, conversation_id, start=None, end=None, ts: str = "ts") -> DataFrame:
+    """Messages of one conversation in order, both ends included, deleted ones left out where they are marked."""
+    rows = messages.where(F.col("conversation_id") == conversation_id)
+    if "del_flag" in messages.columns:
+        rows = rows.where(F.coalesce("del_flag", F.lit(0)) == 0)
+    rows = rows if start is None else rows.where(F.col(ts) >= start)
+    rows = rows if end is None else rows.where(F.col(ts) <= end)
+    return rows.orderBy(ts)
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Whole-file JSON arrays."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON object a line; a line that doesn't fit the schema fails."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_markdown(docs: DataFrame, path: str, title: str = "title", text: str = "text", per_file: int = 500) -> None:
+    """'# title' and text of each document, up to per_file documents in a file; the folder is replaced."""
+    docs.select(F.concat(F.lit("# "), F.col(title), F.lit("\n\n"), F.col(text), F.lit("\n"))).write.mode("overwrite").option("maxRecordsPerFile", per_file).text(path)
+
+
+def read_parquet_shards(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows if limit is None else rows.limit(limit)
+
+
+def latest_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The JSON of the newest of the folders that are named by time."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("snapshot", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1))
+    newest = rows.agg(F.max("snapshot").alias("snapshot"))
+    return rows.join(F.broadcast(newest), "snapshot")
+
+
+def save_chunks(chunks: DataFrame, path: str, by: str = "source_id") -> None:
+    """Replaces the partitions of the sources that occur in chunks and keeps all others."""
+    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def safe_name(name: str) -> str:
+    return re.sub(r"[^\w.-]+", "_", name)
+
+
+def cached_until(cache: DataFrame, now) -> DataFrame:
+    """Entries of a key-value table that have not expired."""
+    return cache.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))

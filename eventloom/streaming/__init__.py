@@ -1,0 +1,48 @@
+"""Streaming twins of the batch operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def window_counts(messages: DataFrame, ts: str = "ts", minutes: int = 60, by: tuple[str, ...] = (), late: str | None = None) -> DataFrame:
+    """(by, window_start, window_end, n) of tumbling windows; the same plan for a table and a stream.
+
+    In a stream a window is given out when the watermark, one interval by default, has passed its end.
+    """
+    rows = messages.withWatermark(ts, late or f"{minutes} minutes") if messages.isStreaming else messages
+    out = rows.groupBy(F.window(ts, f"{minutes} minutes"), *by).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(*by, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n")
+
+
+def dedup(rows: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
+    """The first of each key within the watermark."""
+    return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if rows.isStreaming else rows.dropDuplicates([key])
+
+
+def packed_segments(messages: DataFrame, key: str = "conversation_id", size: str = "tokens", most: int = 8000) -> DataFrame:
+    """(key, segment, n, tokens) of a stream of messages in order: a segment ends when the next one would go over most."""
+
+    def step(ids: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        segment, n, total = state.get if state.exists else (0, 0, 0)
+        out = []
+        for pdf in batches:
+            for x in pdf.sort_values("seq")[size]:
+                if n and total + x > most:
+                    out.append((ids[0], segment, n, total))
+                    segment, n, total = segment + 1, 0, 0
+                n, total = n + 1, total + int(x)
+        state.update((segment, n, total))
+        yield pd.DataFrame(out, columns=[key, "segment", "n", "tokens"])
+
+    kind = messages.schema[key].dataType.simpleString()
+    return messages.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, segment int, n int, tokens long", "segment int, n int, tokens long", "append", "NoTimeout")
+
+
+def landing(spark, path: str, schema: str, each: Callable[[DataFrame, int], None], checkpoint: str):
+    """Starts a stream that hands each batch of new JSON files in a folder to a function, once."""
+    return spark.readStream.schema(schema).json(path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
