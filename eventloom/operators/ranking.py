@@ -35,6 +35,10 @@ def knn(rows: DataFrame, vector: str, query: Sequence[float], k: int, key: str,
     return rows.withColumn("score", vx.unit_score(c) if mode == "unit" else c).orderBy(F.desc("score"), key).limit(k)
 
 
+def _count_of(tokens: str, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == term))
+
+
 def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: Sequence[str], k1: float = 1.2, b: float = 0.75, min_score: float | None = None) -> DataFrame:
     """(key, score): fielded BM25, the best of the boosted field scores; only rows with a term of the query.
 
@@ -42,7 +46,7 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: Sequence[st
     """
     terms = sorted({q.lower() for q in query})
     rows = docs.select(key, *[tx.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
-    rows = rows.select(key, *[F.size(f).alias(f"dl_{f}") for f in fields], *[F.size(F.filter(f, lambda x, q=q: x == q)).alias(f"tf_{f}_{i}") for f in fields for i, q in enumerate(terms)])
+    rows = rows.select(key, *[F.size(f).alias(f"dl_{f}") for f in fields], *[_count_of(f, q).alias(f"tf_{f}_{i}") for f in fields for i, q in enumerate(terms)])
     facts = rows.agg(*[F.sum(F.when(F.col(f"dl_{f}") > 0, 1)).alias(f"n_{f}") for f in fields], *[F.avg(F.when(F.col(f"dl_{f}") > 0, F.col(f"dl_{f}"))).alias(f"avg_{f}") for f in fields], *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms))])
     both = rows.join(F.broadcast(facts))  # one row
 

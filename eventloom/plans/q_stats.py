@@ -172,7 +172,7 @@ def column_backfill(spark, d):
     return mt.backfill(rows).select("source_id", "doc_id")
 
 
-@query("""SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey <> 3
+@query("""SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey = 3 AND c_custkey % 2 = 0)
 UNION ALL SELECT c_custkey, 0.0 FROM customer WHERE c_nationkey = 3 AND c_custkey % 2 = 0""")
 def replace_by_source(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
