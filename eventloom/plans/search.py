@@ -92,7 +92,7 @@ def expand(edges: DataFrame, start: DataFrame, cfg: SearchConfig = SearchConfig(
         fresh = weights.join(found, "entity_id", "left_anti").orderBy(F.desc("weight"), "entity_id").limit(cfg.keys_per_hop)
         via = edges.join(F.broadcast(fresh.select("entity_id")), "entity_id").join(events.withColumnRenamed("weight", "ew"), "event_id")
         before = edges.join(F.broadcast(current.select(F.col("entity_id").alias("parent"), F.col("weight").alias("pw"))), edges.entity_id == F.col("parent")).select("event_id", "parent", "pw")
-        parents = via.join(before, "event_id").groupBy("entity_id").agg(F.max_by("parent", F.struct("ew", "pw", -F.col("parent").cast("double"))).alias("parent"))
+        parents = via.join(before, "event_id").groupBy("entity_id").agg(F.min_by("parent", F.struct(-F.col("ew"), -F.col("pw"), "parent")).alias("parent"))
         fresh = rk.cut_lineage(fresh.join(parents, "entity_id", "left"))
         if fresh.isEmpty():
             break
