@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,6 +61,13 @@ def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(k, rows)
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """The lists of a column of ids, an empty one for null."""
+    at = column.offsets.to_numpy()
+    flat = column.values[at[0] : at[-1]].to_numpy(zero_copy_only=False).tolist()
+    return [flat[a:b] for a, b in pairwise((at - at[0]).tolist())]
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, end: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """(key, carry..., ids): the ids of each whole text as the library gives them, with the end id last if end is set.
 
@@ -92,7 +99,7 @@ def decode(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", model: str
         sp = SentencePieceProcessor(model_file=path)
         for batch in batches:
             for part in _parts(batch):
-                texts = [sp.decode(x) if x else "" for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
+                texts = [sp.decode(x) if x else "" for x in _lists(part.column(part.schema.get_field_index(ids)))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     tokens = tokens.drop("decoded")
