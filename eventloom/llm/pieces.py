@@ -8,9 +8,11 @@ ids are joined back by position. The table is emptied when it is full, which cos
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain, pairwise
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ def default_model() -> str:
 
 
 class ChunkTable:
-    """Ids of whole texts, through a table of distinct marked words."""
+    """Ids of whole texts, through a table of distinct marked words: their ids, four bytes each."""
 
     def __init__(self, model: str):
         from sentencepiece import SentencePieceProcessor
@@ -36,7 +38,7 @@ class ChunkTable:
         self.sp = SentencePieceProcessor(model_file=model)
         if any(re.search(f"[^{MARK}]{MARK}", self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size())):
             raise ValueError("a piece of this model crosses into a whitespace marker")
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, bytes] = {}
         self.chars = 0
 
     def chunks(self, texts: list[str]) -> list[list[str]]:
@@ -47,13 +49,16 @@ class ChunkTable:
         new = sorted({c for cs in found for c in cs if c not in self.ids})
         # the library adds the first marker itself, but not to an empty text
         for c, ids in zip(new, self.sp.encode([c[1:] for c in new], num_threads=1), strict=True):
-            self.ids[c] = ids or [self.sp.piece_to_id(MARK)]
+            self.ids[c] = array("i", ids or [self.sp.piece_to_id(MARK)]).tobytes()
             self.chars += len(c)
         return found
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self.chunks(texts)
-        return [list(chain.from_iterable(map(self.ids.__getitem__, cs))) for cs in found]
+    def encode(self, texts: list[str], tail: Sequence[int] = ()) -> pa.ListArray:
+        """The ids of each text, and tail after them."""
+        found, last = self.chunks(texts), array("i", tail).tobytes()
+        parts = [b"".join(map(self.ids.__getitem__, cs)) + last for cs in found]
+        offsets = np.cumsum([0, *(len(x) // 4 for x in parts)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
 def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -82,8 +87,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
         tail = [table.sp.eos_id()] if end else []
         for batch in batches:
             for part in _parts(batch):
-                ids = [x + tail for x in table.encode(part.column(len(own)).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(ids, pa.list_(pa.int32()))], [*own, "ids"])
+                ids = table.encode(part.column(len(own)).to_pylist(), tail)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], ids], [*own, "ids"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
     return docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("\0text")).mapInArrow(run, f"{fields}, ids array<int>")
@@ -116,6 +121,6 @@ def lengths(docs: DataFrame, text: str = "text", model: str | None = None) -> Da
         for batch in batches:
             for part in _parts(batch):
                 found = table.chunks(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([sum(len(table.ids[c]) for c in cs) for cs in found], pa.int64())], ["n_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([sum(len(table.ids[c]) for c in cs) // 4 for cs in found], pa.int64())], ["n_tokens"])
 
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "n_tokens long")
