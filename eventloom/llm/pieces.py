@@ -53,7 +53,10 @@ class ChunkTable:
             self.chars += len(c)
         return found
 
-    def encode(self, texts: list[str], tail: Sequence[int] = ()) -> pa.ListArray:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.lists(texts).to_pylist()
+
+    def lists(self, texts: list[str], tail: Sequence[int] = ()) -> pa.ListArray:
         """The ids of each text, and tail after them."""
         found, last = self.chunks(texts), array("i", tail).tobytes()
         parts = [b"".join(map(self.ids.__getitem__, cs)) + last for cs in found]
@@ -87,7 +90,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
         tail = [table.sp.eos_id()] if end else []
         for batch in batches:
             for part in _parts(batch):
-                ids = table.encode(part.column(len(own)).to_pylist(), tail)
+                ids = table.lists(part.column(len(own)).to_pylist(), tail)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], ids], [*own, "ids"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
