@@ -1,6 +1,6 @@
 """License scans by ordered signature rules.
 
-Texts become lower-case words; hundreds of regular expressions over the words, each gated by a keyword, give intervals
+Texts become lower-case words; hundreds of regular expressions over the words, each gated by its keywords, give intervals
 of words; rules are ordered by priority, and an interval that lies within an accepted one is suppressed.
 """
 
@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 # Phrases and labels of the base.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label, keyword that must occur as a word, the license's names and its short ids, as expressions over words.
+#: Label, keywords of which one must begin a word of each name, the license's names and its short ids, as expressions
+#: over words.
 FAMILIES: tuple[tuple[str, str, str, str], ...] = (
-    ("mit", "mit", "(?:mit|expat)", "mit"),
+    ("mit", "mit expat", "(?:mit|expat)", "mit"),
     ("mit-0", "mit", "mit no attribution", "mit 0"),
     ("x11", "x11", "x11", "x11"),
     ("isc", "isc", "isc", "isc"),
-    ("0bsd", "0bsd", "(?:zero clause bsd|0bsd)", "0bsd"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", "bsd 2 clause"),
+    ("0bsd", "0bsd zero", "(?:zero clause bsd|0bsd)", "0bsd"),
+    ("bsd-2-clause", "bsd freebsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", "bsd 4 clause"),
     ("apache-1.1", "apache", "apache(?: software)? license(?: version)? 1 1", "apache 1 1"),
@@ -51,8 +52,8 @@ FAMILIES: tuple[tuple[str, str, str, str], ...] = (
     ("epl-1.0", "eclipse", "eclipse public license(?: version| v)? 1(?: 0)?", "epl 1 0"),
     ("epl-2.0", "eclipse", "eclipse public license(?: version| v)? 2(?: 0)?", "epl 2 0"),
     ("edl-1.0", "eclipse", "eclipse distribution license(?: version| v)? 1(?: 0)?", "edl 1 0"),
-    ("eupl-1.1", "eupl", "(?:european union public licen[cs]e|eupl)(?: version| v)? 1 1", "eupl 1 1"),
-    ("eupl-1.2", "eupl", "(?:european union public licen[cs]e|eupl)(?: version| v)? 1 2", "eupl 1 2"),
+    ("eupl-1.1", "eupl european", "(?:european union public licen[cs]e|eupl)(?: version| v)? 1 1", "eupl 1 1"),
+    ("eupl-1.2", "eupl european", "(?:european union public licen[cs]e|eupl)(?: version| v)? 1 2", "eupl 1 2"),
     ("cddl-1.0", "cddl", "cddl(?: version| v)? 1 0", "cddl 1 0"),
     ("cddl-1.1", "cddl", "cddl(?: version| v)? 1 1", "cddl 1 1"),
     ("cpl-1.0", "common", "common public license(?: version| v)?(?: 1)?(?: 0)?", "cpl 1 0"),
@@ -87,7 +88,7 @@ FAMILIES: tuple[tuple[str, str, str, str], ...] = (
     ("json", "json", "json", "json"),
     ("beerware", "beerware", "beerware", "beerware"),
     ("odbl-1.0", "database", "open database license(?: version| v)?(?: 1)?(?: 0)?", "odbl 1 0"),
-    ("odc-by-1.0", "odc", "(?:open data commons|odc)(?: attribution| by)(?: 1)?(?: 0)?", "odc by 1 0"),
+    ("odc-by-1.0", "odc commons", "(?:open data commons|odc)(?: attribution| by)(?: 1)?(?: 0)?", "odc by 1 0"),
     ("pddl-1.0", "pddl", "pddl(?: 1 0)?", "pddl 1 0"),
     ("gfdl-1.3", "gfdl", "gfdl(?: 1 3)?", "gfdl 1 3(?: only| or later)?"),
     ("gfdl-1.3", "documentation", "gnu free documentation license(?: version| v)?(?: 1)?(?: 3)?", "gnu fdl 1 3"),
@@ -116,17 +117,23 @@ class Rule:
     pattern: str
     priority: int
     confidence: float
+    more: tuple[str, ...] = ()  # keywords of the alternatives that don't hold keyword
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules, in the order in which they are tried: by priority, then as listed."""
-    made = []
-    for label, key, name, short in FAMILIES:
+    made, alone = [], []
+    for label, keys, name, short in FAMILIES:
+        key, *more = keys.split()
         own = key if key in short.split() else short.split()[0]  # of the short id
-        made += [Rule(label, key if "{n}" in t else own, t.format(n=name, i=short), p, c) for t, p, c in TEMPLATES]
-    # a name that holds the word license or a version says enough by itself
-    made += [Rule(label, key, name, 25, 0.7) for label, key, name, _ in FAMILIES if re.search(r"licen|gpl|mpl |cddl|eupl", name)]
+        for t, p, c in TEMPLATES:
+            named = "{n}" in t
+            made.append(Rule(label, key if named else own, t.format(n=name, i=short), p, c, tuple(more) if named else ()))
+        # a name that holds the word license or a version says enough by itself
+        if re.search(r"licen|gpl|mpl |cddl|eupl", name):
+            alone.append(Rule(label, key, name, 25, 0.7, tuple(more)))
+    made += alone
     for deed in DEEDS:
         label, longer = "cc-" + deed.replace(" ", "-"), " ".join(DEED_NAMES[x] for x in deed.split())
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
@@ -154,9 +161,9 @@ class Scanner:
     def __init__(self):
         import ahocorasick
 
-        self.rules = [(r, re.compile(f"(?= ({r.pattern}) )")) for r in rules()]
+        self.rules = [(r, frozenset((r.keyword, *r.more)), re.compile(f"(?= ({r.pattern}) )")) for r in rules()]
         self.gate = ahocorasick.Automaton()
-        for key in {r.keyword for r in rules()}:
+        for key in {key for _, own, _ in self.rules for key in own}:
             self.gate.add_word(f" {key}", key)
         self.gate.make_automaton()
         self.base = [(label, f" {phrase} ") for phrase, label in BASE.items()]
@@ -173,8 +180,8 @@ class Scanner:
                 base.append({"label": label, "start": start, "end": start + phrase.count(" ") - 1})
                 k = at(phrase, k + 1)
         if keys := {key for _, key in self.gate.iter(line)}:
-            for rule, pattern in self.rules:
-                for m in pattern.finditer(line) if rule.keyword in keys else ():
+            for rule, own, pattern in self.rules:
+                for m in () if own.isdisjoint(keys) else pattern.finditer(line):
                     start = line.count(" ", 0, m.start())
                     end = start + m[1].count(" ") + 1
                     if not any(x["start"] <= start and end <= x["end"] for x in took):

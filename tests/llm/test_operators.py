@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -345,6 +346,49 @@ def test_license_table():
     assert n == 14 and [x["start"] for x in base if x["label"] == "cc-by-nc"] == [0, 3] and [x["start"] for x in base if x["label"] == "mit"] == [6, 10]
 
 
+def phrases(parsed):
+    """All strings that a parsed expression matches."""
+    out = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                ends = [chr(arg)]
+            case "IN":
+                ends = [chr(c) for _, c in arg]
+            case "BRANCH":
+                ends = [p for branch in arg[1] for p in phrases(branch)]
+            case "SUBPATTERN":
+                ends = phrases(arg[3])
+            case "MAX_REPEAT":
+                assert arg[:2] == (0, 1)
+                ends = ["", *phrases(arg[2])]
+        out = [a + b for a in out for b in ends]
+    return out
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("released under the expat license", "mit"),
+    ("zero clause bsd license", "0bsd"),
+    ("freebsd license", "bsd-2-clause"),
+    ("european union public licence 1 2", "eupl-1.2"),
+    ("open data commons attribution license", "odc-by-1.0"),
+])
+def test_license_gate_lets_each_name_through(text, label):
+    assert {x["label"] for x in licenses.Scanner().scan(text)[2]} == {label}
+
+
+def test_license_gate_loses_nothing():
+    gated, free, some = licenses.Scanner(), licenses.Scanner(), []
+    every = [(0, key) for r in licenses.rules() for key in (r.keyword, *r.more)]
+    free.gate = SimpleNamespace(iter=lambda line: every)
+    for r in licenses.rules():
+        made = phrases(re._parser.parse(r.pattern))
+        assert all(any(f" {key}" in f" {p}" for key in (r.keyword, *r.more)) for p in made), r
+        some += made[:: max(1, len(made) // 4)]
+    for p in some:
+        assert gated.scan(f"a text, {p}.") == free.scan(f"a text, {p}."), p
+
+
 def test_licenses_odd(spark, odd, none, rows):
     got = licenses.scan(odd).collect()
     assert len(got) == len(rows) and all(not r.base for r in got) and licenses.scan(none).count() == 0
