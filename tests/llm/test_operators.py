@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -281,6 +282,96 @@ def test_jpeg_round_trip_and_transform():
     assert set(media.frame_pixels(c).ravel()) == {138}
 
 
+def bmp(rgb):
+    """An image (height, width, 3) as a BMP file."""
+    h, w, _ = rgb.shape
+    rows = np.zeros((h, -(-3 * w // 4) * 4), np.uint8)
+    rows[:, : 3 * w] = rgb[::-1, :, ::-1].reshape(h, 3 * w)
+    return b"BM" + struct.pack("<IIIIiiHHIIiiII", 54 + rows.size, 0, 54, 40, w, h, 1, 24, 0, rows.size, 0, 0, 0, 0) + rows.tobytes()
+
+
+def java_image(spark, file, kind):
+    """A file of an image, converted by Java."""
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(file)))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, kind, out)
+    return bytes(out.toByteArray())
+
+
+def brightness(file):
+    """(height, width) of a BMP file that Java wrote."""
+    start, _, w, h = struct.unpack_from("<IIii", file, 10)
+    rows = np.frombuffer(file, np.uint8, offset=start).reshape(h, -1)[::-1, : 3 * w].reshape(h, w, 3)
+    return rows @ np.array([0.114, 0.587, 0.299])
+
+
+def smooth(h, w, low, high):
+    y, x = np.mgrid[:h, :w]
+    return np.stack([low + (high - low) * (np.sin(x / 9 + k) + np.cos(y / 7) + 2) / 4 for k in range(3)], axis=2).astype(np.uint8)
+
+
+def without_tables(jpeg):
+    at, out = 2, jpeg[:2]
+    while jpeg[at + 1] != 0xDA:
+        end = at + 2 + struct.unpack_from(">H", jpeg, at + 2)[0]
+        out, at = out + (b"" if jpeg[at + 1] == 0xC4 else jpeg[at:end]), end
+    return out + jpeg[at:]
+
+
+def motion_jpeg(frames, name=b"00dc", index=True, absolute=False):
+    stream = b"vidsMJPG" + struct.pack("<IHHIIIII", 0, 0, 0, 0, 1, 10, 0, len(frames))
+    sound = b"auds" + bytes(32)
+    streams = [sound, stream] if name[:2] == b"01" else [stream]
+    head = media._chunk(b"LIST", b"hdrl" + b"".join(media._chunk(b"LIST", b"strl" + media._chunk(b"strh", x)) for x in streams))
+    body, entries, at = [], [], 4
+    for f in frames:
+        entries.append(struct.pack("<4sIII", name, 0x10, at + (12 + len(head) + 8 if absolute else 0), len(f)))
+        body.append(media._chunk(name, f))
+        at += len(body[-1])
+    movi = media._chunk(b"LIST", b"movi" + b"".join(body))
+    return media._chunk(b"RIFF", b"AVI " + head + movi + (media._chunk(b"idx1", b"".join(entries)) if index else b""))
+
+
+def test_jpeg_of_others(spark):
+    for h, w in ((48, 64), (37, 51), (8, 8)):
+        jpeg = java_image(spark, bmp(smooth(h, w, 40, 200)), "jpg")  # sampled 2 x 2, of the standard's tables
+        got, end = media.jpeg_samples(jpeg)
+        assert got.shape == (h, w) and end == len(jpeg)
+        assert np.abs(got - brightness(java_image(spark, jpeg, "bmp"))).max() <= 3
+        assert (media.jpeg_samples(without_tables(jpeg))[0] == got).all()
+    own = media.jpeg_frame(np.random.default_rng(1).integers(0, 256, media.FRAME, np.uint8).tobytes())
+    blocks = media.frame_pixels(media.frame_coefficients(own)).reshape(8, 8, 8, 8).swapaxes(1, 2).reshape(64, 64)
+    assert (media.jpeg_samples(own)[0] == blocks).all()  # a restart after each block
+
+
+def test_media_of_others(spark):
+    dark, light = (java_image(spark, bmp(smooth(40, 56, a, b)), "jpg") for a, b in ((10, 60), (180, 240)))
+    frames = [dark] * 12 + [b""] + [light] * 11
+    files = [
+        motion_jpeg(frames),
+        motion_jpeg(frames, b"01dc"),
+        motion_jpeg(frames, index=False),
+        motion_jpeg(frames, absolute=True),
+        motion_jpeg([without_tables(f) if f else f for f in frames]),
+        media.avi(bytes(64)),
+        None,
+        b"",
+        b"no file of this kind at all",
+        motion_jpeg([dark[:300]] * 3),
+        motion_jpeg([dark.replace(b"\xff\xc0", b"\xff\xc2")]),
+    ]
+    rows = spark.createDataFrame(list(enumerate(files)), "id long, media binary")
+    got = {r.id: r for r in media.read(rows).collect()}
+    for k in range(5):
+        assert [(c.start_s, c.end_s, c.frames) for c in got[k].clips] == [(0.0, 1.3, 13), (1.3, 2.4, 11)]
+        assert got[k].payload is None and sum(got[k].histogram) == 24 * 40 * 56 and got[k].histogram == got[0].histogram
+    assert got[5].payload == bytes(64) and len(got[5].clips) == 1
+    assert all((got[k].payload, got[k].histogram, got[k].clips) == (None, None, None) for k in range(6, 11))
+    cuts = Counter((r.id, r.frames) for r in media.clips(rows).collect())
+    assert cuts == Counter([(k, n) for k in range(5) for n in (13, 11)] + [(5, 1)] + [(k, None) for k in range(6, 11)])
+
+
 def test_shots():
     h = np.zeros((30, media.BINS), int)
     h[:12, 0], h[12:, 5] = 4096, 4096
