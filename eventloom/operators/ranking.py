@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,7 +160,8 @@ def priority_bias(keys: DataFrame, gap: float = 0.05) -> DataFrame:
 def shared_entity_graph(clues: DataFrame, item: str = "item_id", entity: str = "entity_id", weight: str = "weight") -> DataFrame:
     """(a, b, weight), a < b: items that share entities, by the mean of their weights for each.
 
-    An equi self-join on the entity; hub entities should be limited before (newest_per_key).
+    An equi self-join on the entity, whose rows grow with the square of an entity's items; shared_pagerank ranks the
+    same graph without it.
     """
     other = clues.select(F.col(item).alias("b"), entity, F.col(weight).alias("wb"))
     return clues.select(F.col(item).alias("a"), entity, F.col(weight).alias("wa")).join(other, entity).where("a < b").groupBy("a", "b").agg(F.sum((F.col("wa") + F.col("wb")) / 2).alias("weight"))
@@ -181,14 +182,42 @@ def pagerank(graph: DataFrame, start: DataFrame, damping: float = 0.85, rounds:
     both = graph.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(graph.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
     out = both.groupBy("src").agg(F.sum("weight").alias("all"))
     links = cut_lineage(both.join(out, "src").where("`all` > 0").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")))
+
+    def flow(ranks: DataFrame) -> DataFrame:
+        return links.join(ranks.withColumnRenamed(node, "src"), "src").groupBy(F.col("dst").alias(node)).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+
+    return _rank(start, flow, damping, rounds, tolerance, node, every)
+
+
+def shared_pagerank(clues: DataFrame, start: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, item: str = "item_id", entity: str = "entity_id", weight: str = "weight", every: int = 5) -> DataFrame:
+    """(item, rank) as pagerank(shared_entity_graph(clues), start), without the pairs of items.
+
+    A link's weight is a sum of terms of each end, so an entity passes on sums over its items, less each item's own
+    share: the rows of a round are those of clues, however many items an entity has.
+    """
+    rows = clues.where(F.col(item).isNotNull() & F.col(entity).isNotNull() & F.col(weight).isNotNull())
+    rows = rows.groupBy(item, entity).agg(F.count(F.lit(1)).alias("c"), F.sum(weight).alias("w"))
+    sums = rows.groupBy(entity).agg(F.sum("c").alias("cs"), F.sum("w").alias("ws"))
+    out = rows.join(sums, entity).groupBy(item).agg(F.sum((F.col("c") * (F.col("ws") - F.col("w")) + F.col("w") * (F.col("cs") - F.col("c"))) / 2).alias("all"))
+    links = cut_lineage(rows.join(out.where("`all` > 0"), item))
+
+    def flow(ranks: DataFrame) -> DataFrame:
+        sent = links.join(ranks, item).select(item, entity, "c", "w", (F.col("c") * F.col("rank") / F.col("all")).alias("cq"), (F.col("w") * F.col("rank") / F.col("all")).alias("wq"))
+        sums = sent.groupBy(entity).agg(F.sum("cq").alias("cs"), F.sum("wq").alias("ws"))
+        return sent.join(sums, entity).groupBy(item).agg(F.sum((F.col("c") * (F.col("ws") - F.col("wq")) + F.col("w") * (F.col("cs") - F.col("cq"))) / 2).alias("got"))
+
+    return _rank(start, flow, damping, rounds, tolerance, item, every, cut=True)  # flow reads ranks twice
+
+
+def _rank(start: DataFrame, flow: Callable[[DataFrame], DataFrame], damping: float, rounds: int, tolerance: float, node: str, every: int, cut: bool = False) -> DataFrame:
+    """The rounds of PageRank; flow: what each node gets, (node, got), from (node, rank)."""
     facts = start.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total")).first()
     n, total = facts.n, facts.total
     if not n:
         return start.select(node, F.lit(0.0).alias("rank"))
     ranks = cut_lineage(start.select(node, (F.col("weight") / total if total else F.lit(1.0 / n)).alias("rank")))
     for k in range(rounds):
-        flow = links.join(ranks.withColumnRenamed(node, "src"), "src").groupBy(F.col("dst").alias(node)).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = ranks.withColumnRenamed("rank", "old").join(flow, node, "left").select(node, "old", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        new = ranks.withColumnRenamed("rank", "old").join(flow(ranks), node, "left").select(node, "old", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if tolerance > 0 and (k + 1) % every == 0 or k == rounds - 1:
             new = cut_lineage(new)
             change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
@@ -196,7 +225,7 @@ def pagerank(graph: DataFrame, start: DataFrame, damping: float = 0.85, rounds:
             if change < tolerance:
                 break
         else:
-            ranks = new.drop("old")
+            ranks = cut_lineage(new.drop("old")) if cut else new.drop("old")
     return ranks
 
 

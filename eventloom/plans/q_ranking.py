@@ -176,7 +176,7 @@ l AS (SELECT s, t, w / sum(w) OVER (PARTITION BY s) AS p FROM g), n AS (SELECT D
 def pagerank_5_iters(spark, d):
     clues = _clues(spark, d)
     start = clues.select("item_id").distinct().withColumn("weight", F.lit(1.0))
-    return rk.pagerank(rk.shared_entity_graph(clues), start, rounds=5, tolerance=0).select("item_id", F.round("rank", 8).alias("rank"))
+    return rk.shared_pagerank(clues, start, rounds=5, tolerance=0).select("item_id", F.round("rank", 8).alias("rank"))
 
 
 @query(f"WITH {_G}, u AS (SELECT s AS i, count(DISTINCT t) AS d FROM g GROUP BY 1), a AS (SELECT n.i, coalesce(d, 0) AS d FROM n LEFT JOIN u USING (i)) SELECT round(avg(d), 6) AS mean, max(d) AS most, count(*) FILTER (d = 0) AS isolated FROM a")

@@ -1,5 +1,7 @@
 """Operators on small tables worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,29 @@ def test_pagerank_loses_the_mass_of_isolated_items(spark, edges):
     assert abs(ranks[4] - 0.0375) < 1e-9 and ranks[2] > ranks[1] and sum(ranks.values()) < 1
 
 
+def test_shared_pagerank_needs_no_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(20), rng.random()) for i in range(60) for _ in range(3)]
+    rows += [(i, 99, 0.5) for i in range(0, 60, 3)] + [(60, 100, 1.0), (None, 99, 1.0), (1, None, 1.0), (2, 99, None)]  # 99: a hub
+    items, weight, both = range(61), {}, rows[:-3]
+    for a, e, wa in both:
+        for b, f, wb in both:
+            if e == f and a != b:
+                weight[a, b] = weight.get((a, b), 0) + (wa + wb) / 2
+    total = {a: sum(w for (s, _), w in weight.items() if s == a) for a in items}
+    want = {i: 1 / 61 for i in items}
+    for _ in range(7):
+        want = {b: 0.15 / 61 + 0.85 * sum(want[a] * w / total[a] for (a, t), w in weight.items() if t == b) for b in items}
+    clues = spark.createDataFrame(rows, "item_id long, entity_id long, weight double")
+    start = spark.createDataFrame([(i, 1.0) for i in items], "item_id long, weight double")
+    got = {r.item_id: r["rank"] for r in ranking.shared_pagerank(clues, start, rounds=7, tolerance=0).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    hub = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit(1).alias("entity_id"), F.lit(1.0).alias("weight"))
+    ranks = ranking.shared_pagerank(hub, hub.select("item_id", "weight"), rounds=2, tolerance=0)  # 5e9 pairs
+    low, high, n = ranks.agg(F.min("rank"), F.max("rank"), F.count(F.lit(1))).first()
+    assert (low, high, n) == (pytest.approx(1e-5), pytest.approx(1e-5), 100_000)
+
+
 def test_rrf_breaks_ties_by_key(spark):
     rows = spark.createDataFrame([(2, 0.5, None), (1, 0.5, 3.0)], "id int, emb double, bm25 double")
     got = {r.id: r.rrf for r in ranking.rrf(rows, "id", {"emb": 1.0, "bm25": 1.0}).collect()}
