@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,21 +9,10 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
 from eventloom.functions import vectors as vx
+from eventloom.operators.lineage import materialize as cut_lineage
 from eventloom.operators.relational import ranked
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read again, for loops; a temporary folder where it is unset."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="eventloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/loop-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def knn(rows: DataFrame, vector: str, query: Sequence[float], k: int, key: str, mode: str = "raw", clip: bool = False) -> DataFrame:
     """The k rows nearest by cosine with their score: raw cosine, or the (1 + cosine) / 2 of search indexes. Exact.
 
