@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but space and the ASCII controls from tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from eventloom.operators.lineage import discard, materialize, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the shared place named by spark.checkpoint.dir (a temporary one only where it is unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="eventloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/eventloom-{uuid.uuid4().hex}"
+__all__ = ["WORD", "connected_components", "discard", "materialize", "shared_folder", "words"]
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage is cut, lost executors cost no recomputation."""
-    path = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word: a run of anything but space and the ASCII controls from tab to carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
@@ -38,8 +23,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Alternates large-star and small-star rewiring, each round an aggregation and a join that is written to the
     shared folder; ends when no edge changes. Null ends and self loops are ignored; no edges give no rows.
     """
-    spark = edges.sparkSession
-
     def star(e: DataFrame, both: bool) -> DataFrame:
         """Ties each node's larger (both) or smaller neighbours to the smallest of its neighbourhood."""
         near = e if not both else e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -56,8 +39,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break
-        seen = now
+        seen, old = now, e
         e = materialize(star(star(e, True).where("u > v").distinct(), False).where("u > v").distinct())
+        discard(old)
     else:
         raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
