@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm import pieces
+from eventloom.llm.common import materialize
 
 #: Lengths to a bin of the running sums: bins are summed first, then lengths within their bin, so no task needs all.
 BIN = 1024
@@ -56,4 +57,4 @@ def quantiles(sums: DataFrame, points: list[float]) -> DataFrame:
 def token_counts(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
     """suffix_sums of the histogram of docs: a row for each length that occurs, so one for each context limit at which
     an answer changes. Repeated rows count one by one, other columns are not looked at, an empty table gives no rows."""
-    return suffix_sums(histogram(docs, text, model))
+    return suffix_sums(materialize(histogram(docs, text, model)))  # texts are encoded once
