@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CN = "[一-鿿]"
+_LATIN = "[\\w&&[^一-鿿]]"
 #: ASCII punctuation, for character classes.
 PUNCTUATION = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 _SENTENCE_END = "[!?;。！？；]"
@@ -62,7 +65,7 @@ def estimate_tokens(text: Column) -> Column:
     return F.floor(cn / 1.5 + (F.length(text) - cn) / 4)
 
 
-#: Factors of Chinese characters and Latin words for each family of models.
+# Factors of Chinese characters and Latin words for each family of models.
 TOKEN_FACTORS = {"generic": (0.8, 1.0), "gpt": (0.7, 1.0), "claude": (0.65, 1.1), "llama": (0.8, 1.3)}
 
 
@@ -124,7 +127,20 @@ def cache_key(*parts: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words: runs of Latin letters and digits, single Chinese characters where no segmenter is at hand."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"{_CN}|(?U)[\w&&[^一-鿿]]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"{_CN}|(?U){_LATIN}+"), F.lit(0))
+
+
+def count_tokens(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit(rf"{_CN}|(?U){_LATIN}+"))
+
+
+def count_token(text: Column, term: str) -> Column:
+    """How many of the text's tokens are the lower-case term, without an array of all tokens."""
+    if re.fullmatch(_CN, term):
+        return F.regexp_count(F.lower(text), F.lit(term))
+    if not re.fullmatch(r"\w+", term) or re.search(_CN, term):
+        return F.lit(0)
+    return F.regexp_count(F.lower(text), F.lit(rf"(?U)(?<!{_LATIN}){term}(?!{_LATIN})"))
 
 
 def keywords(text: Column, top: int = 20, least: int = 3) -> Column:
@@ -133,12 +149,17 @@ def keywords(text: Column, top: int = 20, least: int = 3) -> Column:
     return F.slice(F.array_distinct(F.transform(found, F.lower)), 1, top)
 
 
+# Words of advertisements, and signs of contacts.
+ADVERTISEMENT = "扫码|加群|优惠券|点击领取|限时免费"
+CONTACT = r"(?U)(微信|QQ)[:：]?\s*\w+"
+
+
 def low_quality(title: Column, content: Column, n_entities: Column) -> Column:
     """(bad, reason): empty, only links, two signs of advertisement, control characters."""
     t, c = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(content, F.lit("")))
     signs = (
-        c.rlike("扫码|加群|优惠券|点击领取|限时免费").cast("int")
-        + c.rlike(r"(?U)(微信|QQ)[:：]?\s*\w+").cast("int")
+        c.rlike(ADVERTISEMENT).cast("int")
+        + c.rlike(CONTACT).cast("int")
         + ((F.coalesce(n_entities, F.lit(0)) == 0) & (F.length(c) < 20)).cast("int")
     )
     reason = (

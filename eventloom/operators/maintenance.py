@@ -85,9 +85,3 @@ def associations(events: DataFrame, types: DataFrame, separator: str = "、") ->
     joined = F.array_join(F.array_distinct(F.transform("d", lambda x: x["description"])), separator)
     return one.join(types.select("type", "weight"), "type", "left").select("event_id", "type", "name", F.coalesce("weight", F.lit(1.0)).alias("weight"), joined.alias("description"))
 
-
-def merge_case(value: str, choices: dict[str, Column], other: Column) -> Column:
-    out = None
-    for k, c in choices.items():
-        out = F.when(F.col(value) == k, c) if out is None else out.when(F.col(value) == k, c)
-    return other if out is None else out.otherwise(other)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +24,76 @@ def knn(rows: DataFrame, vector: str, query: Sequence[float], k: int, key: str,
     return rows.withColumn("score", vx.unit_score(c) if mode == "unit" else c).orderBy(F.desc("score"), key).limit(k)
 
 
-def _count_of(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term))
+def knn_join(rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int, threshold: float | None = None, block: int = 4096) -> DataFrame:
+    """(query_id, key, score): the k rows nearest by cosine to each query but itself, of those at or above threshold.
+
+    Exact, for a stated set of queries: blocks of them, so many at a time, go to the tasks that hold the rows; a task
+    passes on k rows of each query at most. Zero vectors have the cosine 0; null vectors are left out.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema[key].dataType.simpleString()
+    held = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
+
+    def unit(vectors) -> np.ndarray:
+        m = np.array([np.asarray(x, float) for x in vectors]).reshape(len(vectors), -1)
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+    def nearest(ids: list, matrix: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((ids, matrix))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked, q = sent.value
+            best = None
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                own = pdf[key].to_numpy()
+                for at in range(0, len(own), 4096):
+                    part = own[at : at + 4096]
+                    score = unit(list(pdf["v"][at : at + 4096])) @ q.T
+                    i, j = np.nonzero(np.ones_like(score, bool) if threshold is None else score >= threshold)
+                    new = pd.DataFrame({"query_id": np.asarray(asked, object)[j], key: part[i], "score": score[i, j]})
+                    new = new[new["query_id"] != new[key]]
+                    best = new if best is None else pd.concat([best, new])
+                    best = best.sort_values(["score", key], ascending=[False, True]).groupby("query_id", sort=False).head(k)
+            if best is not None and len(best):
+                yield best
+
+        return held.mapInPandas(run, f"query_id {kind}, `{key}` {kind}, score double")
+
+    out, ids, vectors = None, [], []
+    asked = queries.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
+
+    def add() -> None:
+        nonlocal out, ids, vectors
+        found = cut_lineage(nearest(ids, unit(vectors)))
+        out = found if out is None else out.unionByName(found)
+        ids, vectors = [], []
+
+    for r in asked.toLocalIterator():
+        ids.append(r[0])
+        vectors.append(r[1])
+        if len(ids) == block:
+            add()
+    if ids:
+        add()
+    if out is None:
+        return spark.createDataFrame([], f"query_id {kind}, `{key}` {kind}, score double")
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return out.withColumn("nth", first).where(F.col("nth") <= k).drop("nth")
 
 
 def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: Sequence[str], k1: float = 1.2, b: float = 0.75, min_score: float | None = None) -> DataFrame:
     """(key, score): fielded BM25, the best of the boosted field scores; only rows with a term of the query.
 
-    Terms are counted in the rows themselves, so nothing is shuffled but the few statistics of the fields.
+    Terms are counted in the rows themselves, in one pass that leaves a narrow table; nothing is shuffled but the few
+    statistics of the fields.
     """
     terms = sorted({q.lower() for q in query})
-    rows = docs.select(key, *[tx.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
-    rows = rows.select(key, *[F.size(f).alias(f"dl_{f}") for f in fields], *[_count_of(f, q).alias(f"tf_{f}_{i}") for f in fields for i, q in enumerate(terms)])
+    of = lambda f: F.coalesce(F.col(f), F.lit(""))
+    rows = docs.select(key, *[tx.count_tokens(of(f)).alias(f"dl_{f}") for f in fields], *[tx.count_token(of(f), q).alias(f"tf_{f}_{i}") for f in fields for i, q in enumerate(terms)])
+    rows = cut_lineage(rows)
     facts = rows.agg(*[F.sum(F.when(F.col(f"dl_{f}") > 0, 1)).alias(f"n_{f}") for f in fields], *[F.avg(F.when(F.col(f"dl_{f}") > 0, F.col(f"dl_{f}"))).alias(f"avg_{f}") for f in fields], *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms))])
     both = rows.join(F.broadcast(facts))  # one row
 
@@ -52,16 +112,16 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: Sequence[st
 
 def bm25_okapi(docs: DataFrame, key: str, text: str, query: Sequence[str], k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """(key, score) of every candidate: the form whose negative idf becomes epsilon times the mean idf of all terms."""
-    tokens = docs.select(key, F.explode(tx.tokens(F.lower(text))).alias("term"))
-    df = tokens.groupBy("term").agg(F.countDistinct(key).alias("df"))
+    counted = cut_lineage(docs.select(key, F.explode(tx.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    df = counted.groupBy("term").agg(F.count(key).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     idf = df.join(F.broadcast(n)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean"))
     asked = docs.sparkSession.createDataFrame([(q.lower(),) for q in query], "term string")
     weights = idf.join(F.broadcast(asked), "term").join(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("w"))
-    length = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("dl"))
+    length = counted.groupBy(key).agg(F.sum("tf").alias("dl"))
     avg = length.agg((F.sum("dl")).alias("total")).join(F.broadcast(n)).select((F.col("total") / F.col("n")).alias("avgdl"))
-    tf = tokens.join(F.broadcast(weights), "term").groupBy(key, "term", "w").agg(F.count(F.lit(1)).alias("tf"))
+    tf = counted.join(F.broadcast(weights), "term")
     part = tf.join(length, key).join(F.broadcast(avg)).withColumn("s", F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
     return docs.select(key).join(part.groupBy(key).agg(F.sum("s").alias("score")), key, "left").na.fill(0.0, ["score"])
 
@@ -109,11 +169,11 @@ def mention_weight(mentions: DataFrame, e1: DataFrame | None = None, steps: bool
 
 
 def normalize_to_max(events: DataFrame, most: int, weight: str = "weight", tie: str = "event_id") -> DataFrame:
-    """The strongest events divided by the largest weight, without those of 0; if all are 0, every event gets 0.1."""
-    top = events.agg(F.max(weight).alias("top"))
-    kept = events.orderBy(F.desc(weight), tie).limit(most).join(F.broadcast(top)).where("top > 0").where(F.col(weight) > 0).withColumn(weight, F.col(weight) / F.col("top"))
-    zero = events.join(F.broadcast(top)).where("top = 0").withColumn(weight, F.lit(0.1))
-    return kept.unionByName(zero).drop("top")
+    """The strongest events divided by the largest weight, without those of 0; if all are 0, each gets 0.1. No more rows
+    than most, over which the window runs, in either case."""
+    kept = events.orderBy(F.desc(weight), tie).limit(most).withColumn("top", F.max(weight).over(Window.partitionBy(F.lit(0))))
+    kept = kept.where((F.col("top") == 0) | (F.col("top") > 0) & (F.col(weight) > 0))
+    return kept.withColumn(weight, F.when(F.col("top") > 0, F.col(weight) / F.col("top")).otherwise(0.1)).drop("top")
 
 
 def key_weight_recall(edges: DataFrame, events: DataFrame, names: DataFrame | None = None, query: str = "") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import name_key
+from eventloom.operators.lineage import materialize
 
 # ---- filters
 
@@ -56,6 +57,11 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def by_keys(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows whose keys together equal those of a wanted row."""
+    return rows.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def exact_names(entities: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
     """Entities whose normalized name equals that of one of the asked names; asked is the name that matched."""
     asked = names.select(F.col("name").alias("asked"), name_key(F.col("name")).alias("key")).dropDuplicates(["key"])
@@ -92,8 +98,9 @@ def drop_invalid_entities(entities: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def correct_types(entities: DataFrame, corrections: DataFrame) -> DataFrame:
-    """corrections: (type, name, correct_type)."""
-    return entities.join(corrections, ["type", "name"], "left").withColumn("type", F.coalesce("correct_type", "type")).drop("correct_type")
+    """corrections: (type, name, correct_type); of several for one entity the smallest counts."""
+    one = corrections.groupBy("type", "name").agg(F.min("correct_type").alias("correct_type"))
+    return entities.join(one, ["type", "name"], "left").withColumn("type", F.coalesce("correct_type", "type")).drop("correct_type")
 
 
 # ---- joins
@@ -135,10 +142,21 @@ def in_order(rows: DataFrame, array: str, details: DataFrame, key: str, by: Sequ
 
 
 def contained_names(events: DataFrame, entities: DataFrame, batch: str, text: Sequence[str] = ("title", "content"), least_weight: float = 1.0) -> DataFrame:
-    """(event_id, name): entities of the same batch whose name occurs in the event's text, types of low weight left out."""
-    names = entities.where(F.col("weight") >= least_weight).select(batch, F.lower("name").alias("low"), "name").dropDuplicates([batch, "low"])
-    joined = events.select(batch, "event_id", F.lower(F.concat_ws(" ", *text)).alias("t")).join(names, batch)
-    return joined.where(F.col("t").contains(F.col("low"))).select("event_id", "name")
+    """(event_id, name): entities of the same batch whose name occurs in the event's text, types of low weight left out.
+
+    Names meet texts on their first three characters, or all if they have fewer, so it is an equi join; then the whole
+    name is looked for. Empty names are left out; event ids are unique.
+    """
+    names = entities.where((F.col("weight") >= least_weight) & (F.length("name") > 0)).select(batch, F.lower("name").alias("low"), "name").dropDuplicates([batch, "low"])
+    names = names.withColumn("gram", F.substring("low", 1, 3))
+    texts = events.select(batch, "event_id", F.lower(F.concat_ws(" ", *text)).alias("t"))
+    signs = texts.select(batch, "event_id", F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0)).alias("c"))
+
+    def runs_of(n: int) -> Column:
+        return F.transform("c", lambda x, i: F.concat(x, *[F.coalesce(F.get("c", i + k), F.lit("")) for k in range(1, n)]))
+
+    met = signs.select(batch, "event_id", F.explode(F.array_distinct(F.concat(*map(runs_of, (1, 2, 3))))).alias("gram")).join(names, [batch, "gram"]).select("event_id", "low", "name")
+    return met.join(texts.select("event_id", "t"), "event_id").where(F.col("t").contains(F.col("low"))).select("event_id", "name")
 
 
 def previous(rows: DataFrame, by: str, order: str, content: str, most: int = 800) -> DataFrame:
@@ -173,18 +191,42 @@ def newest_per_key(rows: DataFrame, key: str, ts: str, n: int, tie: str) -> Data
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts), tie))).where(F.col("nth") <= n).drop("nth")
 
 
+#: Rows up to which numbering sorts each group in one task.
+NUMBER_IN_ONE = 1 << 20
+
+
+def numbered(rows: DataFrame, order: Sequence[Column | str], into: str, by: Sequence[str] = ()) -> DataFrame:
+    """rows and their place from 1 in a total order, within each group of by.
+
+    Beyond NUMBER_IN_ONE rows the whole order is dealt out by range, places count within a range, and each range begins
+    where the counts of those before it end: no task holds all rows of a group.
+    """
+    by, order = list(by), [F.col(c) if isinstance(c, str) else c for c in order]
+    if rows.count() <= NUMBER_IN_ONE:
+        return rows.withColumn(into, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
+    dealt = materialize(rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("range_no", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "range_no").agg(F.count(F.lit(1)).alias("range_n"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"range_{k}") for k, c in enumerate(by)], F.col("range_no").alias("range_at"), F.coalesce(F.sum("range_n").over(before), F.lit(0)).alias("range_start"))
+    same = F.col("range_no") == F.col("range_at")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"range_{k}"))
+    place = F.row_number().over(Window.partitionBy(*by, "range_no").orderBy(*order)) + F.col("range_start")
+    return dealt.join(starts, same).withColumn(into, place).select(*rows.columns, into)
+
+
 def ranked(rows: DataFrame, scores: Sequence[str], tie: str, by: Sequence[str] = ()) -> DataFrame:
     """rank_<score> from 1 for each score, largest first; ties by key, so no two rows have the same rank."""
     for s in scores:
-        rows = rows.withColumn(f"rank_{s}", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(s), tie)))
+        rows = numbered(rows, [F.desc(s), tie], f"rank_{s}", by)
     return rows
 
 
 def recent_and_sampled(rows: DataFrame, ts: str, key: str, recent: int = 100, sample: int = 2000, seed: int = 42) -> DataFrame:
     """The newest rows and a repeatable sample of the older ones; a sampling operator."""
-    nth = rows.withColumn("nth", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(ts), key)))
-    older = nth.where(F.col("nth") > recent).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(sample)
-    return nth.where(F.col("nth") <= recent).unionByName(older).drop("nth")
+    newest = rows.orderBy(F.desc(ts), key).limit(recent)
+    older = rows.join(F.broadcast(newest.select(key)), key, "left_anti")  # so many rows at most
+    return newest.unionByName(older.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(sample))
 
 
 def merge_right_wins(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

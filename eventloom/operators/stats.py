@@ -11,7 +11,43 @@ from pyspark.sql import functions as F
 def numeric_profile(values: DataFrame, value: str) -> DataFrame:
     """One row: n, low, high, mean, median of the non-null values; true values, 0 included."""
     v = F.col(value)
-    return values.agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.median(v).alias("median"))
+    facts = values.agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"))
+    return facts.withColumn("median", F.lit(median(values, value)).cast("double"))
+
+
+#: Values among which the median is found in one task.
+MEDIAN_IN_ONE = 1 << 20
+
+
+def median(values: DataFrame, value: str, bins: int = 4096) -> float | None:
+    """The exact median of the non-null values, none without any.
+
+    Values are counted in bins, whose counts tell which bin holds the middle; its values are looked at again in the same
+    way, until they are few or all the same.
+    """
+    rows = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    span = lambda r: r.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    n, low, high = span(rows)
+    if not n:
+        return None
+    ranks, below, inside = ((n - 1) // 2, n // 2), 0, n
+    while inside > MEDIAN_IN_ONE and high > low:
+        no = F.least(F.floor((F.col("v") - low) / ((high - low) / bins)), F.lit(bins - 1))
+        kept, at = [], below
+        for r in rows.groupBy(no.alias("no")).agg(F.count(F.lit(1)).alias("n")).orderBy("no").collect():  # so many bins at most
+            if at <= ranks[1] and at + r.n > ranks[0]:
+                kept, below = [*kept, r.no], below if kept else at
+            at += r.n
+        rows = rows.where(no.between(kept[0], kept[-1]))
+        last = inside
+        inside, low, high = span(rows)
+        if inside == last:
+            break
+    counted = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.select("v", (F.sum("n").over(order) + below).alias("upto"))
+    ends = upto.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))) for r in ranks]).first()
+    return (ends[0] + ends[1]) / 2
 
 
 def histogram(values: DataFrame, value: str, bins: int = 10) -> DataFrame:

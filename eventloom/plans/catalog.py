@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.operators.lineage import materialize
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -34,9 +36,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("entity_id")).distinct()
 
 
+def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edges() as a table of its own, for plans that read it several times."""
+    return materialize(edges(spark, sf_dir))
+
+
 EDGES = "e AS (SELECT DISTINCT l_orderkey AS event_id, l_partkey AS entity_id FROM lineitem)"
 
 
 def load() -> None:
     """Registers all queries."""
-    from eventloom.plans import q_ranking, q_stats, q_text, q_walk  # noqa: F401
+    from eventloom.plans import q_more, q_ranking, q_stats, q_text, q_walk  # noqa: F401

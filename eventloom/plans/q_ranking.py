@@ -10,7 +10,7 @@ from eventloom.functions import vectors as vx
 from eventloom.operators import evaluation as ev
 from eventloom.operators import ranking as rk
 from eventloom.plans import search
-from eventloom.plans.catalog import EDGES, edges, query, table
+from eventloom.plans.catalog import EDGES, edges, query, stored_edges, table
 
 #: The vector of vec_id 0, as SQL, and the cosine to it, guarded against zero norms.
 _Q = "q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
@@ -111,11 +111,12 @@ def event_weight_recall(spark, d):
     return rk.event_prior(edges(spark, d), k, q).select("event_id", F.round("weight", 6).alias("weight"))
 
 
-@query(f"WITH {_KEYS}, {_PRIOR} SELECT entity_id, round(avg(weight), 6) AS weight FROM e JOIN p USING (event_id) GROUP BY 1")
+@query(f"WITH {_KEYS}, {_PRIOR} SELECT entity_id, round(avg(weight) + 1e-9, 6) AS weight FROM e JOIN p USING (event_id) GROUP BY 1")
 def key_weight_recall(spark, d):
     k, q = _keys(spark, d)
     e = edges(spark, d)
-    return rk.key_weight_recall(e, rk.event_prior(e, k, q, None)).select("entity_id", F.round("weight", 6).alias("weight"))
+    # exact halves of the last place go up, in whatever order the means were summed
+    return rk.key_weight_recall(e, rk.event_prior(e, k, q, None)).select("entity_id", F.round(F.col("weight") + 1e-9, 6).alias("weight"))
 
 
 _MENTIONS = "m AS (SELECT l_orderkey AS event_id, l_discount AS weight, (l_linenumber % 3)::INT AS count, l_linenumber::INT AS step FROM lineitem)"
@@ -157,17 +158,17 @@ def tokenizer_priority(spark, d):
     return rk.priority_bias(keys).select("entity_id", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""WITH {EDGES}, c AS (SELECT event_id, entity_id, (entity_id % 9 + 1) / 10.0 AS w FROM e WHERE event_id < 300)
+@query(f"""WITH {EDGES}, c AS (SELECT event_id, entity_id, (entity_id % 9 + 1) / 10.0 AS w FROM e)
 SELECT a.event_id AS a, b.event_id AS b, round(sum((a.w + b.w) / 2), 6) AS weight FROM c a JOIN c b USING (entity_id) WHERE a.event_id < b.event_id GROUP BY 1, 2""")
 def shared_entity_graph(spark, d):
     return rk.shared_entity_graph(_clues(spark, d)).select("a", "b", F.round("weight", 6).alias("weight"))
 
 
 def _clues(spark, d):
-    return edges(spark, d).where("event_id < 300").select(F.col("event_id").alias("item_id"), "entity_id", ((F.col("entity_id") % 9 + 1) / 10.0).alias("weight"))
+    return edges(spark, d).select(F.col("event_id").alias("item_id"), "entity_id", ((F.col("entity_id") % 9 + 1) / 10.0).alias("weight"))
 
 
-_G = f"""{EDGES}, c AS (SELECT event_id, entity_id, (entity_id % 9 + 1) / 10.0 AS w FROM e WHERE event_id < 300),
+_G = f"""{EDGES}, c AS (SELECT event_id, entity_id, (entity_id % 9 + 1) / 10.0 AS w FROM e),
 g AS (SELECT a.event_id AS s, b.event_id AS t, sum((a.w + b.w) / 2) AS w FROM c a JOIN c b USING (entity_id) WHERE a.event_id <> b.event_id GROUP BY 1, 2),
 l AS (SELECT s, t, w / sum(w) OVER (PARTITION BY s) AS p FROM g), n AS (SELECT DISTINCT event_id AS i FROM c), r0 AS (SELECT i, 1.0 / (SELECT count(*) FROM n) AS r FROM n)"""
 
@@ -198,7 +199,7 @@ v AS (SELECT entity_id, 1 AS h, w FROM k1 UNION ALL SELECT entity_id, 2, w FROM
 SELECT a.entity_id, hop, round(coalesce(m.w, 0), 6) AS weight FROM a LEFT JOIN m USING (entity_id)""")
 def expand_two_hops(spark, d):
     start = table(spark, d, "part").where("p_partkey in (5, 9)").select(F.col("p_partkey").alias("entity_id"), F.lit(1.0).alias("weight"))
-    found, _ = search.expand(edges(spark, d), start, search.SearchConfig(hops=2))
+    found, _ = search.expand(stored_edges(spark, d), start, search.SearchConfig(hops=2))
     return found.select("entity_id", "hop", F.round("weight", 6).alias("weight"))
 
 
@@ -206,13 +207,13 @@ def expand_two_hops(spark, d):
 def search_flagship(spark, d):
     """Recall, expansion and rerank: parts are keys, orders are events, both with vectors for similarity."""
     vectors = table(spark, d, "embeddings").select("vec_id", vx.cosine(F.col("embedding"), vx.literal(_query_vector(spark, d)), clip=True).alias("c"))
-    n = vectors.agg(F.count(F.lit(1)).alias("n"))
     part = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"))
     order = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"))
-    near = lambda rows, key: rows.join(F.broadcast(n)).withColumn("vec_id", F.col(key) % F.col("n")).join(vectors, "vec_id").drop("n", "vec_id")
+    near = lambda rows, key: rows.join(F.broadcast(vectors.agg(F.count(F.lit(1)).alias("n")))).withColumn("vec_id", F.col(key) % F.col("n")).join(vectors, "vec_id").drop("n", "vec_id")
+    vectors = rk.cut_lineage(vectors)
     entities = near(part, "entity_id").withColumnRenamed("c", "similarity").withColumn("type_weight", F.lit(1.0))
-    e1 = near(order, "event_id").select("event_id", F.col("c").alias("e1"))
-    e = edges(spark, d)
+    e1 = rk.cut_lineage(near(order, "event_id").select("event_id", F.col("c").alias("e1")))
+    e = stored_edges(spark, d)
     cfg = search.SearchConfig(key_threshold=0.0, rerank_threshold=0.1)
     keys = search.recall(entities, e, e1, cfg=cfg)
     found, _ = search.expand(e, keys, cfg)
@@ -237,13 +238,19 @@ def recall_at_k(spark, d):
     return ev.recall_at(r, g, 20).withColumn("recall", F.round("recall", 6))
 
 
-_ANS = "a AS (SELECT b.item_id AS question_id, regexp_replace(lower(d.text), '[^a-z0-9 \n]', '', 'g') AS x, regexp_replace(lower(b.text), '[^a-z0-9 \n]', '', 'g') AS y FROM documents d JOIN benchmark b ON d.doc_id = b.item_id WHERE d.lang = 'en')"
+_ANS = "a AS (SELECT d.doc_id AS question_id, regexp_replace(lower(d.text), '[^a-z0-9 \n]', '', 'g') AS x, regexp_replace(lower(b.text), '[^a-z0-9 \n]', '', 'g') AS y FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)"
 
 
 def _answers(spark, d):
     clean = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9 \n]", "")
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), clean("text").alias("gold"))
-    return table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("question_id"), clean("text").alias("answer")).join(b, "question_id")
+    b = table(spark, d, "benchmark").select("item_id", clean("text").alias("gold"))
+    return _with_item(spark, d).select(F.col("doc_id").alias("question_id"), "item_id", clean("text").alias("answer")).join(b, "item_id").drop("item_id")
+
+
+def _with_item(spark, d):
+    """All documents, each with one of the benchmark's items."""
+    n = table(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "documents").join(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n")).drop("n")
 
 
 _WORDS = r"list_filter(regexp_split_to_array(regexp_replace({}, '\b(a|an|the)\b', ' ', 'g'), '\s+'), lambda w: w <> '')"
@@ -276,19 +283,19 @@ def chunk_dedup_purified(spark, d):
     return ev.dedup_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(split_part(text, ' ', 1))) ORDER BY doc_id) AS nth FROM documents) WHERE nth = 1""")
+@query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id) AS nth FROM documents) WHERE nth = 1""")
 def first_seen_dedup(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.split("text", " ")[0].alias("w"))
-    return ev.first_seen(rows, "w", "doc_id").select("doc_id")
+    return ev.first_seen(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id")
 
 
-@query("""SELECT b.item_id, d.doc_id, round(len(list_intersect(list_distinct(string_split(lower(b.text), ' ')), list_distinct(string_split(lower(d.text), ' ')))) / len(list_distinct(string_split(lower(b.text), ' '))), 6) AS overlap
-FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id AND d.doc_id < 400""")
+_SPLIT = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''))"
+
+
+@query(f"""SELECT b.item_id, d.doc_id, round(len(list_intersect({_SPLIT.format('b.text')}, {_SPLIT.format('d.text')})) / len({_SPLIT.format('b.text')}), 6) AS overlap
+FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id""")
 def word_overlap(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.replace("text", F.lit("\n"), F.lit("")).alias("bt"), F.col("text").alias("gold"))
-    docs = table(spark, d, "documents").where("doc_id < 400").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), "text")
-    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    return docs.join(b, "item_id").select("item_id", "doc_id", F.round(F.size(F.array_intersect(words("gold"), words("text"))) / F.size(words("gold")), 6).alias("overlap"))
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"))
+    return _with_item(spark, d).join(b, "item_id").select("item_id", "doc_id", F.round(tx.word_overlap(F.col("gold"), F.col("text")), 6).alias("overlap"))
 
 
 @query("SELECT lang AS stage, sum(n_chars)::BIGINT AS prompt_tokens, sum(doc_id)::BIGINT AS completion_tokens, sum(n_chars + doc_id)::BIGINT AS total_tokens, count(*) AS calls FROM documents GROUP BY 1")
@@ -301,5 +308,3 @@ def token_accounting(spark, d):
 def judge_score_means(spark, d):
     return ev.metric_means(table(spark, d, "labels"), "quality", "toxic")
 
-
-__all__ = ["tx"]

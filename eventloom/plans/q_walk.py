@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
@@ -60,11 +59,11 @@ def exact_name_match(spark, d):
     return rel.exact_names(part, names).select("entity_id", "asked")
 
 
-@query("""WITH n AS (SELECT DISTINCT lower(replace(p_name, ' ', ''))[1:6] AS p FROM part WHERE p_partkey % 40 = 0)
+@query("""WITH n AS (SELECT DISTINCT lower(replace(p_name, ' ', ''))[1:6] AS p FROM part WHERE p_partkey % 50 = 0)
 SELECT p_partkey AS entity_id, min(n.p) AS asked FROM part, n WHERE starts_with(lower(replace(p_name, ' ', '')), n.p) GROUP BY 1""")
 def prefix_name_match(spark, d):
     part = _part(spark, d)
-    names = part.where("entity_id % 40 = 0").select(F.substring(tx.name_key(F.col("name")), 1, 6).alias("name")).distinct()
+    names = part.where("entity_id % 50 = 0").select(F.substring(tx.name_key(F.col("name")), 1, 6).alias("name")).distinct()
     return rel.prefix_names(part, names, least=4).select("entity_id", "asked")
 
 
@@ -103,10 +102,10 @@ def new_keys_anti(spark, d):
     return _part(spark, d).select("entity_id").join(seen, "entity_id", "left_anti")
 
 
-@query(f"""WITH {EDGES}, s AS (SELECT o_custkey AS chunk_id, entity_id, min((o_orderkey, e.event_id, entity_id)) AS first FROM e JOIN orders ON o_orderkey = event_id WHERE o_custkey < 200 GROUP BY 1, 2)
+@query(f"""WITH {EDGES}, s AS (SELECT o_custkey AS chunk_id, entity_id, min((o_orderkey, e.event_id, entity_id)) AS first FROM e JOIN orders ON o_orderkey = event_id GROUP BY 1, 2)
 SELECT chunk_id, string_agg(entity_id::VARCHAR, ',' ORDER BY first) AS entities FROM s GROUP BY 1""")
 def event_to_chunk(spark, d):
-    ev = _orders(spark, d).where("source_config_id < 200").select("event_id", F.col("source_config_id").alias("chunk_id"), F.col("event_id").alias("rank"))
+    ev = _orders(spark, d).select("event_id", F.col("source_config_id").alias("chunk_id"), F.col("event_id").alias("rank"))
     return rel.chunk_entities(edges(spark, d), ev).select("chunk_id", F.array_join(F.col("entities").cast("array<string>"), ",").alias("entities"))
 
 
@@ -136,9 +135,9 @@ def ordered_references(spark, d):
 
 
 @query("""WITH b AS (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS name FROM benchmark)
-SELECT doc_id AS event_id, name FROM documents, b WHERE doc_id % 50 = 0 AND length(name) > 1 AND contains(lower(concat_ws(' ', source, text)), name)""")
+SELECT doc_id AS event_id, name FROM documents, b WHERE length(name) > 1 AND contains(lower(concat_ws(' ', source, text)), name)""")
 def containment_join(spark, d):
-    ev = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.lit(1).alias("batch"), F.col("doc_id").alias("event_id"), F.col("source").alias("title"), F.col("text").alias("content"))
+    ev = table(spark, d, "documents").select(F.lit(1).alias("batch"), F.col("doc_id").alias("event_id"), F.col("source").alias("title"), F.col("text").alias("content"))
     names = table(spark, d, "benchmark").select(F.lit(1).alias("batch"), F.lower(F.split("text", " ")[1]).alias("name"), F.lit(1.0).alias("weight")).where("length(name) > 1").distinct()
     return rel.contained_names(ev, names, "batch")
 
@@ -184,13 +183,14 @@ def dense_rank_map(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) - 1 AS rank FROM documents")
 def global_renumber(spark, d):
-    return table(spark, d, "documents").select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("lang", "doc_id")) - 1).alias("rank"))
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang")
+    return rel.numbered(rows, ["lang", "doc_id"], "place", by=["source"]).select("doc_id", (F.col("place") - 1).alias("rank"))
 
 
-@query(f"""WITH {EDGES}, h AS (SELECT entity_id, (event_id % 4)::INT AS hop FROM e WHERE event_id % 7 <> 0)
+@query(f"""WITH {EDGES}, h AS (SELECT entity_id, (event_id % 4)::INT AS hop FROM e)
 SELECT p_partkey AS entity_id, coalesce(min(hop) + 1, 2) AS first_hop FROM part LEFT JOIN h ON entity_id = p_partkey GROUP BY 1""")
 def earliest_hop(spark, d):
-    hops = edges(spark, d).where("event_id % 7 <> 0").groupBy("entity_id").agg((F.min(F.col("event_id") % 4).cast("int") + 1).alias("first_hop"))
+    hops = edges(spark, d).groupBy("entity_id").agg((F.min(F.col("event_id") % 4).cast("int") + 1).alias("first_hop"))
     return _part(spark, d).select("entity_id").join(hops, "entity_id", "left").na.fill(2, ["first_hop"])
 
 

@@ -6,7 +6,7 @@ similarity to the query if known). Every stage is a DataFrame; the driver decide
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,14 +110,29 @@ def rerank(items: DataFrame, keys: DataFrame, edges: DataFrame, cfg: SearchConfi
     """
     clues = edges.join(F.broadcast(keys), "entity_id").select("item_id", "entity_id", "weight", "hop", (F.col("hop") + 1).alias("step"), "count", F.lit(False).alias("is_target"))
     scored = items.where(F.col("similarity") >= cfg.rerank_threshold).join(rk.relation_and_density(clues), "item_id", "left").na.fill(0.0, ["relation", "density"])
+    scored = rk.cut_lineage(scored)
     fused = rk.rrf(scored, "item_id", cfg.rerank_weights, cfg.rrf_k).withColumnRenamed("rrf", "weight")
     if cfg.use_pagerank:
         kept = rk.cut_lineage(fused)
-        graph = rk.shared_entity_graph(clues.join(kept.select("item_id"), "item_id", "left_semi"))
-        fused = rk.blend(kept, rk.pagerank(graph, kept.select("item_id", "weight"), cfg.damping, cfg.pagerank_rounds))
+        ranks = rk.shared_pagerank(clues.join(kept.select("item_id"), "item_id", "left_semi"), kept.select("item_id", "weight"), cfg.damping, cfg.pagerank_rounds)
+        fused = rk.blend(kept, ranks)
     return fused.orderBy(F.desc("weight"), "item_id").limit(cfg.max_results)
 
 
+def rerank_sections(chunks: DataFrame, keys: DataFrame, edges: DataFrame, events: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """chunks (item_id, similarity, bm25 or null) reranked by the clues of their events, strongest first.
+
+    events: (event_id, chunk_id); edges: (event_id, entity_id, count). No similarity threshold holds for chunks.
+    """
+    own = edges.join(events, "event_id").groupBy(F.col("chunk_id").alias("item_id"), "entity_id").agg(F.sum("count").alias("count"))
+    return rerank(chunks, keys, own, replace(cfg, rerank_threshold=float("-inf")))
+
+
+def intermediate(items: DataFrame, top_k: int) -> DataFrame:
+    """The items that intermediate clues are made of: three times as many as are asked for."""
+    return items.orderBy(F.desc("weight"), "item_id").limit(3 * top_k)
+
+
 def clue_edges(clues: DataFrame) -> DataFrame:
     """Provenance edges (seq, stage, src, dst, display_level, confidence): the first of each (src, dst, stage, level);
     confidences outside 0 to 1000 are brought into 0 to 10."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +31,7 @@ def documents(spark: SparkSession, path: str, recursive: bool = True, decode=Non
     for the binary formats, which are left out without it.
     """
     suffixes = TEXT_SUFFIXES + (BINARY_SUFFIXES if decode else ())
-    glob = "*.{" + ",".join(suffixes) + "}"
+    glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in suffixes) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).load(path)
     files = files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), "content")
     raw = F.decode("content", "UTF-8")
@@ -82,10 +80,12 @@ def read_parquet_shards(spark: SparkSession, path: str, limit: int | None = None
 
 
 def latest_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The JSON of the newest of the folders that are named by time."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("snapshot", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1))
-    newest = rows.agg(F.max("snapshot").alias("snapshot"))
-    return rows.join(F.broadcast(newest), "snapshot")
+    """(snapshot, ...): the JSON of the newest of the folders that are named by time; only that one is read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    newest = max(x.getPath().getName() for x in found if x.isDirectory())
+    rows = spark.read.schema(schema).option("multiLine", True).json(f"{path.rstrip('/')}/{newest}")
+    return rows.withColumn("snapshot", F.lit(newest))
 
 
 def save_chunks(chunks: DataFrame, path: str, by: str = "source_id") -> None:
@@ -93,10 +93,6 @@ def save_chunks(chunks: DataFrame, path: str, by: str = "source_id") -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def safe_name(name: str) -> str:
-    return re.sub(r"[^\w.-]+", "_", name)
-
-
 def cached_until(cache: DataFrame, now) -> DataFrame:
     """Entries of a key-value table that have not expired."""
     return cache.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
