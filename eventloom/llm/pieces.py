@@ -98,7 +98,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
 
 def decode(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", model: str | None = None) -> DataFrame:
-    """tokens and decoded, the library's text for the ids; null ids give an empty text. Other columns are kept."""
+    """tokens and decoded, the library's text for the ids; null ids give an empty text. Other columns are kept, but for
+    one named decoded, which is replaced; repeated rows all stay; an empty table stays empty."""
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,8 @@ def base32(digest: bytes) -> str:
 def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST) -> DataFrame:
     """(id, url, payload, size, sha1, refers_to): refers_to is the largest id with an equal payload, null for its own row.
 
-    A null payload is an empty one. Null ids come before all others. Rows that repeat id and payload are alike: with the
+    A null payload is an empty one; an empty table gives no rows; columns not named are not looked at, so their names are
+    free. Null ids come before all others. Rows that repeat id and payload are alike: with the
     largest id, all of them are responses.
     """
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"))
@@ -180,6 +181,8 @@ def read(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK, payloads:
     record: path and number of the record; id, refers_to as text; record_type; stored_size, of the payload by its HTTP
     header; chunk_no; data (null unless payloads); size_so_far and digest_so_far of the payload up to this chunk, the
     digest in base32. A revisit has one row without data, with the size and digest of the payload that it refers to.
+    Records of other types give no rows; a payload that differs from its record's SHA-1 is an error. An empty manifest
+    gives no rows.
     """
     schema = pa.schema([("record", pa.string()), ("id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("chunk_no", pa.int32()), ("data", pa.binary()), ("size_so_far", pa.int64()), ("digest_so_far", pa.string()), ("digest", pa.string())])
 
@@ -190,12 +193,19 @@ def read(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK, payloads:
             while (head := source.head()) is not None:
                 n += 1
                 _, fields, _ = head
-                rest = int(fields["content-length"])
-                _, http, length = source.head()
-                rest -= length
-                row = {"record": f"{path}#{n}", "id": _page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "refers_to": _page(fields.get("warc-refers-to")), "digest": fields["warc-payload-digest"].removeprefix("sha1:")}
-                if row["record_type"] == "revisit":
-                    yield row | {"chunk_no": 0, "size_so_far": int(http["content-length"]), "digest_so_far": row["digest"]}
+                kind, rest, http = fields.get("warc-type"), int(fields.get("content-length", 0)), {}
+                if kind in ("response", "revisit") and rest and fields.get("content-type", "").startswith("application/http"):
+                    _, http, length = source.head()
+                    rest -= length
+                given = fields.get("warc-payload-digest", "")
+                row = {"record": f"{path}#{n}", "id": _page(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": _page(fields.get("warc-refers-to")), "digest": given.removeprefix("sha1:") or None}
+                if kind != "response":
+                    if kind == "revisit":
+                        yield row | {"chunk_no": 0, "size_so_far": int(http.get("content-length", 0)), "digest_so_far": row["digest"]}
+                    while rest:  # warcinfo, request, metadata and other records hold no payload of a page
+                        if not (data := source.some(min(chunk, rest))):
+                            raise ValueError(f"{path} ends within record {n}")
+                        rest -= len(data)
                 else:
                     digest, size, k = hashlib.sha1(), 0, 0
                     while True:
@@ -208,6 +218,8 @@ def read(spark: SparkSession, manifest: DataFrame, chunk: int = CHUNK, payloads:
                         k += 1
                         if not rest:
                             break
+                    if given.startswith("sha1:") and given[5:].upper() != base32(digest.digest()):
+                        raise ValueError(f"{path}: record {n} has another payload than its digest says")
                 source.some(4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

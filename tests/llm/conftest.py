@@ -22,7 +22,7 @@ ODD = [
     (12, "ab cd ef gh " * 30_000, "en", "b", 1),
     (13, "Zwei  Leerzeichen　und \U0001f600 \x00 Ende ", "de", "b", 1),
 ]
-CLASHING = ["id", "tid", "h", "doc", "size", "block", "t", "shard", "ids", "lines", "gone", "words", "kept", "n_words", "media", "n_bytes", "vslot", "slot", "n_removed", "component_id", "n_shingles", "copies", "draws", "base", "found"]
+CLASHING = ["id", "tid", "h", "doc", "size", "block", "t", "shard", "ids", "lines", "gone", "words", "kept", "n_words", "media", "n_bytes", "vslot", "slot", "n_removed", "component_id", "n_shingles", "copies", "draws", "base", "found", "near_rid", "rid", "_words", "_lines", "near_row", "s"]
 
 
 @pytest.fixture

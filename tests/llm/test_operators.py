@@ -483,3 +483,32 @@ def test_license_gate_loses_nothing():
 def test_licenses_odd(spark, odd, none, rows):
     got = licenses.scan(odd).collect()
     assert len(got) == len(rows) and all(not r.base for r in got) and licenses.scan(none).count() == 0
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    import base64
+    import gzip
+    import hashlib
+
+    def record(kind, body, **more):
+        lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", *(f"{k.replace('_', '-')}: {v}" for k, v in more.items()), f"Content-Length: {len(body)}"]
+        return gzip.compress(("\r\n".join(lines) + "\r\n\r\n").encode() + body + b"\r\n\r\n")
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"
+    http = {"Content_Type": "application/http; msgtype=response"}
+    good = "sha1:" + base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    files = {
+        "a": record("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields") + record("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request") + record("response", page, WARC_Payload_Digest=good, **http) + record("response", page, **http) + record("metadata", b""),
+        "b": record("response", page, WARC_Payload_Digest=good[:-1] + "A", **http),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    of = lambda name: warc.records_of(warc.read(spark, spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "path string"))).collect()
+    assert [(r.record_type, r["size"], r.digest) for r in of("a")] == [("response", 5, good[5:])] * 2
+    with pytest.raises(Exception, match="another payload"):
+        of("b")
+
+
+def test_clashing_names_are_kept(spark, odd):
+    out = quality.measures(odd)
+    assert set(odd.columns) - set(out.columns) == set() and {r._words for r in out.select("_words").collect()} == {"mine"}
