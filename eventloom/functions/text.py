@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,16 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def normalize_for_embedding(text: Column) -> Column:
+    """NFKC, lower case, white space collapsed; empty for null. NFKC has no built-in form and runs over Arrow batches."""
+
+    @F.pandas_udf("string")
+    def nfkc(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
+    return normalize_text(F.lower(nfkc(F.coalesce(text, F.lit("")))))
+
+
 def normalize_entity_name(name: Column) -> Column:
     """Lower case without punctuation, spaces collapsed last."""
     return normalize_text(F.regexp_replace(F.lower(name), r"(?U)[^\w\s]", ""))
@@ -44,6 +56,24 @@ def markdown_headings(text: Column) -> Column:
     return F.transform(lines, lambda x: F.concat(F.regexp_extract(x, r"^(#{1,6})\s+(.+)$", 1), F.lit(" "), F.regexp_extract(x, r"^(#{1,6})\s+(.+)$", 2)))
 
 
+def document_title(text: Column) -> Column:
+    """The first heading of level 1 to 6, 'Untitled' without one or for null."""
+    found = F.trim(F.regexp_extract(text, r"(?m)^#{1,6}\s+(.+)$", 1))
+    return F.coalesce(F.when(found != "", found), F.lit("Untitled"))
+
+
+# Fixed value: the namespace of DNS names for UUIDs of version 5.
+_DNS = "6ba7b8109dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column) -> Column:
+    """The UUID of version 5 of a name among DNS names; null for null."""
+    h = F.sha1(F.concat(F.unhex(F.lit(_DNS)), F.encode(name, "UTF-8")))
+    part = lambda start, n: F.substring(h, start, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
 def text_hash(text: Column) -> Column:
     return F.md5(text)
 
@@ -65,6 +95,13 @@ def estimate_tokens(text: Column) -> Column:
     return F.floor(cn / 1.5 + (F.length(text) - cn) / 4)
 
 
+def truncate_to_tokens(text: Column, most: int) -> Column:
+    """Text of more than so many estimated tokens is cut in proportion, less a tenth to be safe."""
+    n = estimate_tokens(text)
+    keep = F.floor(F.length(text) * F.try_divide(F.lit(most), n) * 0.9).cast("int")
+    return F.when(n <= most, text).otherwise(F.substring(text, F.lit(1), keep))
+
+
 # Factors of Chinese characters and Latin words for each family of models.
 TOKEN_FACTORS = {"generic": (0.8, 1.0), "gpt": (0.7, 1.0), "claude": (0.65, 1.1), "llama": (0.8, 1.3)}
 
@@ -143,10 +180,11 @@ def count_token(text: Column, term: str) -> Column:
     return F.regexp_count(F.lower(text), F.lit(rf"(?U)(?<!{_LATIN}){term}(?!{_LATIN})"))
 
 
-def keywords(text: Column, top: int = 20, least: int = 3) -> Column:
-    """The fallback extraction: capitalised or plain words of some length, distinct, in order."""
+def keywords(text: Column, top: int = 20, least: int = 3, stopwords: Sequence[str] = ()) -> Column:
+    """The fallback extraction: capitalised or plain words of some length but stopwords, distinct, in order."""
     found = F.regexp_extract_all(text, F.lit(rf"\b[A-Za-z][A-Za-z0-9\-]{{{least - 1},}}\b"), F.lit(0))
-    return F.slice(F.array_distinct(F.transform(found, F.lower)), 1, top)
+    words = F.array_distinct(F.transform(found, F.lower))
+    return F.slice(F.array_except(words, F.array(*[F.lit(w.lower()) for w in sorted(stopwords)])) if stopwords else words, 1, top)
 
 
 # Words of advertisements, and signs of contacts.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventloom import sources
 from eventloom.functions import text as tx
 from eventloom.functions import time as tm
 from eventloom.functions import values as vl
@@ -16,6 +17,9 @@ from eventloom.plans import search
 from eventloom.plans.catalog import EDGES, edges, query, table
 
 
+STOPWORDS = ("the", "and", "for", "with", "that", "this", "from")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_nationkey % 3 <> 0")
 def soft_delete_filter(spark, d):
     flag = F.when(F.col("c_nationkey") % 3 == 0, True).when(F.col("c_nationkey") % 3 == 1, False)
@@ -205,3 +209,56 @@ def related_events(spark, d):
     rows = table(spark, d, "embeddings")
     found = rk.knn_join(rows, rows.where("vec_id % 50 = 0"), "embedding", "vec_id", 5, threshold=0.1)
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT turn, role, text FROM conversations WHERE conv_id = 3")
+def stored_document(spark, d):
+    return sources.stored_document(table(spark, d, "conversations"), 3, "conv_id", "turn").select("turn", "role", "text")
+
+
+_CN = r"len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]'))"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, text, floor({_CN} / 1.5 + (length(text) - {_CN}) / 4) AS n, trim(regexp_extract(text, '(?m)^#{{1,6}}\s+(.+)$', 1)) AS h FROM documents)
+SELECT doc_id, CASE WHEN h = '' THEN 'Untitled' ELSE h END AS title, CASE WHEN n <= 100 THEN length(text) ELSE floor(length(text) * (100 / n) * 0.9) END::BIGINT AS kept FROM t""")
+def document_metadata(spark, d):
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", tx.document_title(text).alias("title"), F.length(tx.truncate_to_tokens(text, 100)).cast("long").alias("kept"))
+
+
+def _uuid5_sql(name):
+    h = f"sha1('\\x6b\\xa7\\xb8\\x10\\x9d\\xad\\x11\\xd1\\x80\\xb4\\x00\\xc0\\x4f\\xd4\\x30\\xc8'::BLOB || encode({name}))"
+    return f"{h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-' || translate({h}[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || {h}[18:20] || '-' || {h}[21:32]"
+
+
+@query(f"""WITH q AS (SELECT item_id, text AS query, CASE WHEN item_id % 2 = 0 THEN text ELSE 'please: ' || text END AS original FROM benchmark),
+n AS (SELECT DISTINCT original AS content, 'origin' AS category, '原始搜索内容' AS description FROM q UNION SELECT query, 'rewrite', '重写的请求' FROM q WHERE query <> original)
+SELECT {_uuid5_sql("content")} AS id, 'query' AS type, category, content, description FROM n""")
+def query_provenance(spark, d):
+    original = F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("please: "), "text"))
+    return search.query_nodes(table(spark, d, "benchmark").select(F.col("text").alias("query"), original.alias("original")))
+
+
+@query(f"""SELECT CASE WHEN p_size > 5 THEN p_partkey::VARCHAR ELSE 'fallback-' || {_uuid5_sql("p_name")} END AS id, 'entity' AS type, p_brand AS category, p_name AS content, '' AS description, p_size % 3 AS hop FROM part""")
+def entity_provenance(spark, d):
+    part = table(spark, d, "part")
+    rows = part.select(F.when(F.col("p_size") > 5, F.col("p_partkey")).alias("entity_id"), F.col("p_brand").alias("type"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("description"), (F.col("p_size") % 3).alias("hop"))
+    return search.entity_nodes(rows)
+
+
+@query(f"""SELECT p_partkey, 'extracted-' || {_uuid5_sql("p_brand || ':' || p_name")} AS id FROM part""")
+def extracted_provenance(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("type"), F.col("p_name").alias("name"), F.lit("").alias("description"), "p_partkey")
+    return search.extracted_nodes(rows).withColumnRenamed("content", "p_name").join(rows.select("p_partkey", F.col("name").alias("p_name"), F.col("type").alias("category")), ["p_name", "category"]).select("p_partkey", "id").distinct()
+
+
+@query()
+def embedding_normalized(spark, d):
+    """Texts as they go to an embedding; NFKC is not in SQL."""
+    return table(spark, d, "documents").select("doc_id", tx.normalize_for_embedding(F.col("text")).alias("text"))
+
+
+@query()
+def keywords_but_stopwords(spark, d):
+    """First keywords of each document, stopwords left out."""
+    return table(spark, d, "documents").select("doc_id", tx.keywords(F.col("text"), stopwords=STOPWORDS).alias("keywords"))

@@ -133,6 +133,34 @@ def intermediate(items: DataFrame, top_k: int) -> DataFrame:
     return items.orderBy(F.desc("weight"), "item_id").limit(3 * top_k)
 
 
+def query_nodes(queries: DataFrame) -> DataFrame:
+    """Nodes (id, type, category, content, description) of queries (query, original or null): the query as asked, and
+    that as it was before where it has been rewritten."""
+    rewritten = F.col("original").isNotNull() & (F.col("original") != F.col("query"))
+    # Descriptions of query nodes.
+    kinds = [(F.coalesce("original", "query"), "origin", "原始搜索内容", F.lit(True)), (F.col("query"), "rewrite", "重写的请求", rewritten)]
+    each = F.array(*[F.when(has, F.struct(text.alias("content"), F.lit(kind).alias("category"), F.lit(told).alias("description"))) for text, kind, told, has in kinds])
+    rows = queries.select(F.explode(F.array_compact(each)).alias("n")).select("n.*").distinct()
+    return rows.select(tx.uuid5(F.col("content")).alias("id"), F.lit("query").alias("type"), "category", "content", "description")
+
+
+def entity_nodes(entities: DataFrame) -> DataFrame:
+    """Nodes (id, type, category, content, description, hop) of entities (entity_id, type, name, description, hop); one
+    without an id gets one made of its name."""
+    name = F.coalesce("name", F.lit(""))
+    made = F.concat(F.lit("fallback-"), tx.uuid5(F.coalesce("name", F.lit("unknown"))))
+    blank = lambda c, other: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(other))
+    return entities.select(F.coalesce(F.col("entity_id").cast("string"), made).alias("id"), F.lit("entity").alias("type"), blank("type", "unknown").alias("category"), name.alias("content"), blank("description", "").alias("description"), F.coalesce("hop", F.lit(0)).alias("hop"))
+
+
+def extracted_nodes(attributes: DataFrame) -> DataFrame:
+    """Nodes of the attributes (name, type, description) that a query was found to have."""
+    kind, name = F.coalesce("type", F.lit("unknown")), F.coalesce("name", F.lit(""))
+    # Fixed value: what is said of one without a description.
+    told = F.coalesce(F.when(F.col("description") != "", F.col("description")), F.lit("从查询提取的属性"))
+    return attributes.select(F.concat(F.lit("extracted-"), tx.uuid5(F.concat(kind, F.lit(":"), name))).alias("id"), F.lit("entity").alias("type"), kind.alias("category"), name.alias("content"), told.alias("description"))
+
+
 def clue_edges(clues: DataFrame) -> DataFrame:
     """Provenance edges (seq, stage, src, dst, display_level, confidence): the first of each (src, dst, stage, level);
     confidences outside 0 to 1000 are brought into 0 to 10."""

@@ -93,6 +93,11 @@ def save_chunks(chunks: DataFrame, path: str, by: str = "source_id") -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def stored_document(chunks: DataFrame, source, key: str = "source_id", rank: str = "rank") -> DataFrame:
+    """The chunks of a stored document in their order; it is not chunked again."""
+    return chunks.where(F.col(key) == source).orderBy(rank)
+
+
 def cached_until(cache: DataFrame, now) -> DataFrame:
     """Entries of a key-value table that have not expired."""
     return cache.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))

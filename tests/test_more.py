@@ -2,6 +2,8 @@
 
 import random
 import re
+import unicodedata
+import uuid
 from statistics import median
 
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from eventloom import sources
 from eventloom.functions import text as tx
 from eventloom.operators import lineage, ranking, relational, stats
-from eventloom.plans import catalog, search
+from eventloom.plans import catalog, q_more, search
 
 catalog.load()
 
@@ -124,3 +126,42 @@ def test_shared_tables_can_be_discarded(spark):
     lineage.discard(kept, None, spark.range(1))
     with pytest.raises(Exception):
         spark.read.parquet(kept.eventloom_folder).count()
+
+
+def test_texts_for_embedding(spark, small):
+    texts = {r.doc_id: r.text for r in catalog.table(spark, small, "documents").collect()}
+    for r in catalog.QUERIES["embedding_normalized"](spark, small).collect():
+        assert r.text == re.sub(r"\s+", " ", unicodedata.normalize("NFKC", texts[r.doc_id]).lower()).strip()
+    odd = spark.createDataFrame([("Ｈｅｌｌｏ  ½\t①",), ("",), (None,)], "t string")
+    assert [r[0] for r in odd.select(tx.normalize_for_embedding(F.col("t"))).collect()] == ["hello 1⁄2 1", "", ""]
+
+
+def test_keywords_but_stopwords(spark, small):
+    texts = {r.doc_id: r.text for r in catalog.table(spark, small, "documents").collect()}
+    for r in catalog.QUERIES["keywords_but_stopwords"](spark, small).collect():
+        found = dict.fromkeys(x.lower() for x in re.findall(r"\b[A-Za-z][A-Za-z0-9\-]{2,}\b", texts[r.doc_id]))
+        assert r.keywords == [x for x in found if x not in q_more.STOPWORDS][:20]
+
+
+def test_names_have_the_uuid_of_version_5(spark):
+    names = ["", "a", "什么 是 é", "x" * 300]
+    got = spark.createDataFrame([(x,) for x in names], "t string").select("t", tx.uuid5(F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in got} == {x: str(uuid.uuid5(uuid.NAMESPACE_DNS, x)) for x in names}
+
+
+def test_titles_and_cut_texts(spark):
+    rows = [("intro\n## One \n# Two", "One"), ("#no", "Untitled"), (None, "Untitled"), ("", "Untitled")]
+    got = spark.createDataFrame(rows, "t string, want string").select(tx.document_title(F.col("t")), "want").collect()
+    assert all(r[0] == r.want for r in got)
+    cut = spark.createDataFrame([("a" * 4000,), ("a" * 400,), (None,)], "t string").select(F.length(tx.truncate_to_tokens(F.col("t"), 100))).collect()
+    assert [r[0] for r in cut] == [360, 400, None]
+
+
+def test_nodes_of_what_lacks_fields(spark):
+    rows = spark.createDataFrame([(None, None, None, None, None)], "entity_id long, type string, name string, description string, hop int")
+    made = str(uuid.uuid5(uuid.NAMESPACE_DNS, "unknown"))
+    assert tuple(search.entity_nodes(rows).first()) == (f"fallback-{made}", "entity", "unknown", "", "", 0)
+    assert search.extracted_nodes(rows).first().id == f"extracted-{uuid.uuid5(uuid.NAMESPACE_DNS, 'unknown:')}"
+    asked = spark.createDataFrame([("q", None), ("q", "q"), ("new", "q")], "query string, original string")
+    got = {(r.category, r.content) for r in search.query_nodes(asked).collect()}
+    assert got == {("origin", "q"), ("rewrite", "new")} and search.query_nodes(asked).count() == 2
