@@ -104,6 +104,40 @@ def split_long(text: Column, most: int, prefix: str = "[Continued] ") -> Column:
     return F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(prefix), x)))
 
 
+def _forced(text: Column, most: int, model: str) -> Column:
+    """Pieces of as many characters as most estimated tokens hold, at least one; a word counts where it begins."""
+    cn_factor, latin_factor = tx.TOKEN_FACTORS[model]
+
+    def add(acc: Column, c: Column) -> Column:
+        letter = c.rlike("^[a-zA-Z]$")
+        cn, sign = c.rlike("^[一-鿿]$").cast("int"), c.rlike(r"(?U)^[^\w\s]$").cast("int")
+        word = letter & ~acc["letter"]
+        total = F.floor((acc["cn"] + cn) * cn_factor) + F.floor((acc["words"] + word.cast("int")) * latin_factor) + F.floor((acc["signs"] + sign) * 0.5)
+        full = (total > most) & (acc["now"] != "")
+        fresh = lambda n, more: F.when(full, n).otherwise(more + n)
+        return F.struct(
+            F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"),
+            F.when(full, c).otherwise(F.concat(acc["now"], c)).alias("now"),
+            fresh(cn, acc["cn"]).alias("cn"),
+            F.when(full, letter.cast("int")).otherwise(acc["words"] + word.cast("int")).alias("words"),
+            fresh(sign, acc["signs"]).alias("signs"),
+            letter.alias("letter"),
+        )
+
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), *[F.lit(0).alias(c) for c in ("cn", "words", "signs")], F.lit(False).alias("letter"))
+    return F.aggregate(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), zero, add, lambda a: F.array_append(a["done"], a["now"]))
+
+
+def split_sentence(text: Column, most: int, model: str = "generic") -> Column:
+    """Parts of a long sentence of up to most estimated tokens: cut after commas, spaces and tabs and packed again in
+    order; what is still too long is cut between characters. Parts are trimmed, blank ones left out; no parts for null."""
+    pieces = F.regexp_extract_all(text, F.lit(r"\s*(?:[，,、]|[^\s，,、][^，,、 \t]*(?:[，,、 \t]|$))"), F.lit(0))
+    sized = F.transform(pieces, lambda x: F.struct(x.alias("piece"), tx.chunk_tokens(x, model).cast("long").alias("tokens")))
+    packed = F.transform(pack(sized, "tokens", most), lambda b: F.struct(F.array_join(F.transform(b["items"], lambda i: F.get(pieces, i)), "").alias("text"), b["total"].alias("total")))
+    parts = F.flatten(F.transform(packed, lambda b: F.when(b["total"] > most, _forced(b["text"], most, model)).otherwise(F.array(b["text"]))))
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+
 def resolve_references(ids: Column, references: Column) -> Column:
     """1-based places, given by a model, to ids; places that aren't whole numbers within the list are dropped."""
     numbers = F.transform(references, lambda r: r.try_cast("int"))

@@ -262,3 +262,9 @@ def embedding_normalized(spark, d):
 def keywords_but_stopwords(spark, d):
     """First keywords of each document, stopwords left out."""
     return table(spark, d, "documents").select("doc_id", tx.keywords(F.col("text"), stopwords=STOPWORDS).alias("keywords"))
+
+
+@query()
+def long_sentence_parts(spark, d):
+    """Benchmark items as sentences that are too long for 12 estimated tokens."""
+    return table(spark, d, "benchmark").select("item_id", F.posexplode(ch.split_sentence(F.col("text"), 12)).alias("pos", "part"))

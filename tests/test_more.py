@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eventloom import sources
 from eventloom.functions import text as tx
-from eventloom.operators import lineage, ranking, relational, stats
+from eventloom.operators import chunking, lineage, ranking, relational, stats
 from eventloom.plans import catalog, q_more, search
 
 catalog.load()
@@ -165,3 +165,49 @@ def test_nodes_of_what_lacks_fields(spark):
     asked = spark.createDataFrame([("q", None), ("q", "q"), ("new", "q")], "query string, original string")
     got = {(r.category, r.content) for r in search.query_nodes(asked).collect()}
     assert got == {("origin", "q"), ("rewrite", "new")} and search.query_nodes(asked).count() == 2
+
+
+def parts_of(text, most):
+    """Brute force: shortest pieces that end after a separator, packed; characters of those that are too long."""
+
+    def estimate(t):
+        return max(1, int(len(re.findall("[一-鿿]", t)) * 0.8) + len(re.findall(r"\b[a-zA-Z]+\b", t)) + int(len(re.findall(r"[^\w\s]", t)) * 0.5))
+
+    def tokens(t):  # of a piece's beginning: a word counts where it begins
+        words = sum(1 for a, b in zip(" " + t, t) if b.isascii() and b.isalpha() and not (a.isascii() and a.isalpha()))
+        return int(len(re.findall("[一-鿿]", t)) * 0.8) + words + int(len(re.findall(r"[^\w\s]", t)) * 0.5)
+
+    pieces, now = [], ""
+    for c in text:
+        now += c
+        if c in "，,、 \t" and now.strip():
+            pieces.append(now)
+            now = ""
+    pieces += [now] if now.strip() else []
+    out, held, total = [], "", 0
+    for x in pieces:
+        n = estimate(x)
+        if held and total + n > most:
+            out.append((held, total))
+            held, total = "", 0
+        held, total = held + x, total + n
+    out += [(held, total)] if held else []
+    done = []
+    for x, n in out:
+        while n > most and x:
+            k = max([j for j in range(1, len(x) + 1) if tokens(x[:j]) <= most] or [1])
+            done.append(x[:k])
+            x = x[k:]
+        done += [x] if n <= most else []
+    return [x.strip() for x in done if x.strip()]
+
+
+def test_long_sentences(spark, small):
+    texts = {r.item_id: r.text for r in catalog.table(spark, small, "benchmark").collect()}
+    got = {}
+    for r in catalog.QUERIES["long_sentence_parts"](spark, small).orderBy("item_id", "pos").collect():
+        got.setdefault(r.item_id, []).append(r.part)
+    assert got == {k: parts_of(t, 12) for k, t in texts.items() if parts_of(t, 12)}
+    odd = ["", "  ", " , a\t\tb，c", "这" * 40 + "，好、" + "x " * 30, "!" * 70, "a,b" * 20, "long " + "，" * 3 + "字" * 16 + " end"]
+    rows = spark.createDataFrame([(x,) for x in [*odd, None]], "t string").select("t", chunking.split_sentence(F.col("t"), 12).alias("p")).collect()
+    assert {r.t: r.p for r in rows} == {x: parts_of(x, 12) for x in odd} | {None: []}
