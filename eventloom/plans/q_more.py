@@ -268,3 +268,15 @@ def keywords_but_stopwords(spark, d):
 def long_sentence_parts(spark, d):
     """Benchmark items as sentences that are too long for 12 estimated tokens."""
     return table(spark, d, "benchmark").select("item_id", F.posexplode(ch.split_sentence(F.col("text"), 12)).alias("pos", "part"))
+
+
+@query(f"""WITH {EDGES}, s AS (SELECT p_partkey AS entity_id, p_size / 64.0 AS k1 FROM part WHERE p_size / 64.0 >= 0.4 ORDER BY k1 DESC, entity_id LIMIT 25),
+w AS (SELECT unnest(['cold', 'Large', 'blue rod']) AS word), m AS (SELECT p_partkey AS entity_id, row_number() OVER (PARTITION BY word ORDER BY p_partkey) AS nth FROM part, w WHERE starts_with(lower(p_name), lower(word))),
+k AS (SELECT * FROM (SELECT * FROM s UNION ALL SELECT DISTINCT entity_id, 63 / 64.0 FROM m WHERE nth <= 2 AND entity_id NOT IN (SELECT entity_id FROM s)) ORDER BY k1 DESC, entity_id LIMIT 25),
+r AS (SELECT event_id, 0.5 * ((event_id % 64) / 64.0) + 0.5 * sum(k1) AS weight FROM e JOIN k USING (entity_id) GROUP BY 1 ORDER BY weight DESC, event_id LIMIT 60)
+SELECT o_custkey AS chunk_id, max(weight)::DOUBLE AS weight, arg_max(event_id, (weight, -event_id)) AS event_id FROM r JOIN orders ON o_orderkey = event_id GROUP BY 1 ORDER BY 2 DESC, 3, 1 LIMIT 25""")
+def query_key_event_chunk(spark, d):
+    entities = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), (F.col("p_size") / F.lit(64.0)).alias("similarity"))
+    words = spark.createDataFrame([("cold",), ("Large",), ("blue rod",)], "word string")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("chunk_id"), (F.col("o_orderkey") % 64 / F.lit(64.0)).alias("e1"))
+    return search.recall_chunks(entities, words, edges(spark, d), o, 25, named=63 / 64).select("chunk_id", "weight", "event_id")

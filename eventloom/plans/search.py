@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
 from eventloom.operators import ranking as rk
+from eventloom.operators import relational as rel
 
 
 @dataclass(frozen=True)
@@ -56,6 +57,27 @@ def recall(entities: DataFrame, edges: DataFrame, e1: DataFrame, query: str = ""
     return weights.where(F.col("weight") >= cfg.key_threshold).join(entities.select("entity_id", "name"), "entity_id").orderBy(F.desc("weight"), "entity_id").limit(cfg.final_keys)
 
 
+def recall_chunks(entities: DataFrame, words: DataFrame, edges: DataFrame, events: DataFrame, k: int, cfg: SearchConfig = SearchConfig(), most_words: int = 20, per_word: int = 2, named: float = 0.99) -> DataFrame:
+    """(chunk_id, weight, event_id): the k best chunks of a query from its keys' events, for evaluations.
+
+    entities: (entity_id, name, similarity); words: (word), the query's, no more than most_words of which count; events:
+    (event_id, chunk_id, e1 or null). Keys are the entities over the similarity threshold and, for each word, the first
+    entities whose normalized name begins with it; an event weighs half its e1 and half the sum of its keys.
+    """
+    similar = entities.where(F.col("similarity") >= cfg.entity_threshold).orderBy(F.desc("similarity"), "entity_id").limit(cfg.max_entities)
+    similar = rk.cut_lineage(similar.select("entity_id", F.col("similarity").alias("k1")))
+    asked = words.select(F.lower("word").alias("word")).where("word <> ''").distinct().orderBy("word").limit(most_words).withColumn("head", F.substring("word", 1, 1))
+    names = entities.select("entity_id", tx.normalize_entity_name(F.col("name")).alias("n")).withColumn("head", F.substring("n", 1, 1))
+    met = names.join(F.broadcast(asked), "head").where(F.col("n").startswith(F.col("word")))  # so many words at most
+    first = F.row_number().over(Window.partitionBy("word").orderBy("entity_id"))
+    met = met.withColumn("nth", first).where(F.col("nth") <= per_word).select("entity_id").distinct()
+    met = met.join(F.broadcast(similar), "entity_id", "left_anti").withColumn("k1", F.lit(named))
+    keys = rk.cut_lineage(similar.unionByName(met).orderBy(F.desc("k1"), "entity_id").limit(cfg.max_entities))
+    own = edges.join(F.broadcast(keys.select("entity_id")), "entity_id", "left_semi")
+    ranked = rk.event_prior(own, keys, events.select("event_id", "e1"), cfg.max_events)
+    return rel.first_chunks(events.where("chunk_id is not null").select("event_id", "chunk_id").join(F.broadcast(ranked), "event_id"), k)
+
+
 def hop_events(edges: DataFrame, keys: DataFrame, cfg: SearchConfig, names: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(event_id, weight) of one hop: events of the keys, weighed by their mentions, normalized to the largest."""
     own = edges.join(F.broadcast(keys.select("entity_id", "weight", "step")), "entity_id")
