@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eventloom.operators.lineage import discard, materialize, shared_folder
 
-__all__ = ["WORD", "connected_components", "discard", "materialize", "shared_folder", "words"]
+__all__ = ["WORD", "connected_components", "discard", "map_batches", "materialize", "quoted", "shared_folder", "words"]
 
 #: A word: a run of anything but space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands in expressions, dots and back-ticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow for columns of any name: run finds them by position, under the names c0, c1 and so on."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
