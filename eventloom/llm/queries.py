@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import byte_bpe, licenses, line_dedup, media, mixing, near, pieces, quality, sharding, token_counts, warc
+from eventloom.llm import byte_bpe, licenses, line_dedup, media, mixing, near, pieces, quality, sharding, token_counts, vector_codes, warc
+from eventloom.llm.common import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +126,13 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    books = vector_codes.train(vectors)
+    coded = materialize(vector_codes.encode(vectors, books, carry=("label",)))
+    return vector_codes.label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents")))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -132,7 +140,7 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_warc, op4_mixing, op5_token_counts, op6_media, op7_quality, op8_near, op9_licenses, op10_pieces, op12_byte_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_warc, op4_mixing, op5_token_counts, op6_media, op7_quality, op8_near, op9_licenses, op10_pieces, op11_vector_codes, op12_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
