@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import byte_bpe, licenses, line_dedup, media, mixing, near, pieces, quality, sharding, token_counts, vector_codes, warc
+from eventloom.llm import byte_bpe, collocations, licenses, line_dedup, media, mixing, near, pieces, quality, sharding, token_counts, vector_codes, warc
 from eventloom.llm.common import materialize
 
 
@@ -139,9 +139,38 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM i, (VALUES (1), (2), (3), (4), (5)) AS ks(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE f >= 100),
+s AS (SELECT c.lang, c.phrase, c.k, c.f AS a, x.f AS l, y.f AS r, n.n,
+             ((1000::HUGEINT * c.f * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score, cut
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c
+      JOIN c AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ')
+      JOIN c AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')
+      JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, array_to_string(w[j:j + m - 1], ' ') AS phrase, max(f) AS f
+           FROM (SELECT lang, w, f, m, unnest(range(1, k - m + 2)) AS j FROM c, (VALUES (2), (3), (4)) AS ms(m) WHERE m < k) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN longer o USING (lang, phrase) WHERE o.f IS NULL OR 100 * o.f < 100 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_warc, op4_mixing, op5_token_counts, op6_media, op7_quality, op8_near, op9_licenses, op10_pieces, op11_vector_codes, op12_byte_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_warc, op4_mixing, op5_token_counts, op6_media, op7_quality, op8_near, op9_licenses, op10_pieces, op11_vector_codes, op12_byte_bpe, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op7_quality": OP7_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op7_quality": OP7_SQL, "op13_collocations": OP13_SQL}
