@@ -209,10 +209,25 @@ def low_quality(title: Column, content: Column, n_entities: Column) -> Column:
     return F.struct(reason.isNotNull().alias("bad"), reason.alias("reason"))
 
 
+# Estimated tokens up to which a text is taken as it is, and then most sentences by tokens.
+WHOLE_TOKENS, SUMMARY_SIZES = 5000, ((50000, 150), (400000, 350), (None, 500))
+
+
 def sentence_budget(n_tokens: Column, n_sentences: Column, ratio: float = 0.3) -> Column:
     """Sentences that a summary takes; 0: the text as it is."""
     want = F.greatest(F.lit(1), F.floor(n_sentences * ratio))
-    return F.when(n_tokens <= 5000, 0).when(n_tokens <= 50000, F.least(F.lit(150), want)).when(n_tokens <= 400000, F.least(F.lit(350), want)).otherwise(F.least(F.lit(500), want))
+    out = F.when(n_tokens <= WHOLE_TOKENS, 0)
+    for tokens, most in SUMMARY_SIZES:
+        out = out.otherwise(F.least(F.lit(most), want)) if tokens is None else out.when(n_tokens <= tokens, F.least(F.lit(most), want))
+    return out
+
+
+def summary_sentences(n_tokens: int, n_sentences: int, ratio: float = 0.3) -> int:
+    """sentence_budget of plain numbers."""
+    if n_tokens <= WHOLE_TOKENS:
+        return 0
+    most = next(m for tokens, m in SUMMARY_SIZES if tokens is None or n_tokens <= tokens)
+    return min(most, max(1, int(n_sentences * ratio)))
 
 
 def count_occurrences(text: Column, name: Column, lower: bool = False, least: int = 0) -> Column:
