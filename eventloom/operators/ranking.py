@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
 from eventloom.functions import vectors as vx
 from eventloom.operators.lineage import materialize as cut_lineage
+from eventloom.operators.lineage import shared_folder
 from eventloom.operators.relational import ranked
+from eventloom.operators.vector_index import VectorIndex
 
 
 def knn(rows: DataFrame, vector: str, query: Sequence[float], k: int, key: str, mode: str = "raw", clip: bool = False) -> DataFrame:
@@ -24,64 +24,13 @@ def knn(rows: DataFrame, vector: str, query: Sequence[float], k: int, key: str,
     return rows.withColumn("score", vx.unit_score(c) if mode == "unit" else c).orderBy(F.desc("score"), key).limit(k)
 
 
-def knn_join(rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int, threshold: float | None = None, block: int = 4096) -> DataFrame:
+def knn_join(rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int, threshold: float | None = None) -> DataFrame:
     """(query_id, key, score): the k rows nearest by cosine to each query but itself, of those at or above threshold.
 
-    Exact, for a stated set of queries: blocks of them, so many at a time, go to the tasks that hold the rows; a task
-    passes on k rows of each query at most. Zero vectors have the cosine 0; null vectors are left out.
+    Exact, through an index of the rows in the shared folder; where rows are searched again, build one and keep it.
+    Zero vectors have the cosine 0; null vectors are left out.
     """
-    spark = rows.sparkSession
-    kind = rows.schema[key].dataType.simpleString()
-    held = rows.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
-
-    def unit(vectors) -> np.ndarray:
-        m = np.array([np.asarray(x, float) for x in vectors]).reshape(len(vectors), -1)
-        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-    def nearest(ids: list, matrix: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            asked, q = sent.value
-            best = None
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                own = pdf[key].to_numpy()
-                for at in range(0, len(own), 4096):
-                    part = own[at : at + 4096]
-                    score = unit(list(pdf["v"][at : at + 4096])) @ q.T
-                    i, j = np.nonzero(np.ones_like(score, bool) if threshold is None else score >= threshold)
-                    new = pd.DataFrame({"query_id": np.asarray(asked, object)[j], key: part[i], "score": score[i, j]})
-                    new = new[new["query_id"] != new[key]]
-                    best = new if best is None else pd.concat([best, new])
-                    best = best.sort_values(["score", key], ascending=[False, True]).groupby("query_id", sort=False).head(k)
-            if best is not None and len(best):
-                yield best
-
-        return held.mapInPandas(run, f"query_id {kind}, `{key}` {kind}, score double")
-
-    out, ids, vectors = None, [], []
-    asked = queries.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
-
-    def add() -> None:
-        nonlocal out, ids, vectors
-        found = cut_lineage(nearest(ids, unit(vectors)))
-        out = found if out is None else out.unionByName(found)
-        ids, vectors = [], []
-
-    for r in asked.toLocalIterator():
-        ids.append(r[0])
-        vectors.append(r[1])
-        if len(ids) == block:
-            add()
-    if ids:
-        add()
-    if out is None:
-        return spark.createDataFrame([], f"query_id {kind}, `{key}` {kind}, score double")
-    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return out.withColumn("nth", first).where(F.col("nth") <= k).drop("nth")
+    return VectorIndex.build(rows, key, vector, shared_folder(rows.sparkSession)).search(queries, vector, k, threshold)
 
 
 def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: Sequence[str], k1: float = 1.2, b: float = 0.75, min_score: float | None = None) -> DataFrame:

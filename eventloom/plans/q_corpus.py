@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
 from eventloom.operators import summaries as sm
+from eventloom.operators.lineage import shared_folder
+from eventloom.operators.vector_index import VectorIndex
 from eventloom.plans.catalog import query, table
 
 
@@ -22,3 +24,13 @@ def document_summaries(spark, d):
     docs = table(spark, d, "documents")
     out = sm.summaries(docs, "doc_id")
     return docs.select("doc_id", tx.document_title(F.col("text")).alias("title")).join(out.select("doc_id", "n_sentences", "method", F.size("sentences").alias("taken"), F.md5(F.array_join("sentences", "\n")).alias("summary_md5")), "doc_id")
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS c FROM v q, v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND v.label = 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS nth FROM s) SELECT query_id, vec_id, round(c, 6) AS score FROM r WHERE nth <= 10""")
+def indexed_knn(spark, d):
+    """Ten rows of a type for each query, from a stored index that holds the type."""
+    rows = table(spark, d, "embeddings")
+    index = VectorIndex.build(rows, "vec_id", "embedding", shared_folder(spark), carry=["label"])
+    found = index.search(rows.where("vec_id % 50 = 0"), "embedding", 10, where=F.col("label") == 3)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))

@@ -80,7 +80,7 @@ def test_knn_join_in_blocks(spark):
     rng = random.Random(2)
     rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)] + [(60, [0.0] * 4), (61, None)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
-    got = ranking.knn_join(df, df.where("id % 5 = 0"), "v", "id", 3, threshold=0.2, block=4).collect()
+    got = ranking.knn_join(df, df.where("id % 5 = 0"), "v", "id", 3, threshold=0.2).collect()
 
     def cosine(a, b):
         length = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
