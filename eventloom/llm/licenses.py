@@ -7,9 +7,11 @@ of words; rules are ordered by priority, and an interval that lies within an acc
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -157,6 +159,28 @@ def plain_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_PLAIN).split()
 
 
+class _Reach:
+    """The greatest end of the intervals that begin at or before a place, by a tree of prefix maxima."""
+
+    def __init__(self):
+        self.most: dict[int, int] = {}
+        self.size = 1 << 40
+
+    def add(self, start: int, end: int) -> None:
+        k = start + 1
+        while k <= self.size:
+            if self.most.get(k, -1) < end:
+                self.most[k] = end
+            k += k & -k
+
+    def upto(self, start: int) -> int:
+        k, end = start + 1, -1
+        while k > 0:
+            end = max(end, self.most.get(k, -1))
+            k -= k & -k
+        return end
+
+
 class Scanner:
     def __init__(self):
         import ahocorasick
@@ -172,19 +196,28 @@ class Scanner:
         """Number of words, base places, accepted detections; start and end are numbers of words, end not included."""
         found = plain_words(text)
         line = f" {b' '.join(found).decode()} "
-        base, took, at = [], [], line.find
+        base, took, at, spaces = [], [], line.find, []
+        accepted = _Reach()
+
+        def word(k: int) -> int:
+            """The number of the word after the space at k."""
+            if not spaces:
+                spaces.extend(accumulate((len(w.decode()) + 1 for w in found), initial=0))
+            return bisect_left(spaces, k)
+
         for label, phrase in self.base:
             k = at(phrase)
             while k >= 0:
-                start = line.count(" ", 0, k)
+                start = word(k)
                 base.append({"label": label, "start": start, "end": start + phrase.count(" ") - 1})
                 k = at(phrase, k + 1)
         if keys := {key for _, key in self.gate.iter(line)}:
             for rule, own, pattern in self.rules:
                 for m in () if own.isdisjoint(keys) else pattern.finditer(line):
-                    start = line.count(" ", 0, m.start())
+                    start = word(m.start())
                     end = start + m[1].count(" ") + 1
-                    if not any(x["start"] <= start and end <= x["end"] for x in took):
+                    if accepted.upto(start) < end:
+                        accepted.add(start, end)
                         took.append({"label": rule.label, "start": start, "end": end, "priority": rule.priority, "confidence": rule.confidence})
         return len(found), base, took
 
