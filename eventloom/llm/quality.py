@@ -6,14 +6,13 @@ document that one rule rejects reaches none of the later ones. DataFrame functio
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import WORD, words
+from eventloom.llm.common import WORD, quoted, words
 
 #: Rows from the sample on which costs and rejections are estimated. It decides the order of the rules, never a verdict.
 SAMPLE_ROWS = 500
@@ -21,10 +20,16 @@ SAMPLE_ROWS = 500
 
 @dataclass(frozen=True)
 class Rule:
-    """fails(text) is true for a text that the rule rejects."""
+    """fails(text) is true for a text that the rule rejects. Its work on a text is counted in plain passes over the
+    characters, passes of them, and steps for each word."""
 
     name: str
     fails: Callable[[Column], Column]
+    passes: float = 1.0
+    word_steps: float = 0.0
+
+    def work(self, text: Column) -> Column:
+        return self.passes * F.length(text) + self.word_steps * n_words(text)
 
 
 def n_words(text: Column) -> Column:
@@ -93,38 +98,29 @@ def _with_words(text: Column, then: Callable[[Column], Column]) -> Column:
 #: Limits set so that clean prose of any length over 50 words stays: junk has symbols on every word or shouts throughout.
 RULES: tuple[Rule, ...] = (
     Rule("few_words", lambda t: n_words(t) < 50),
-    Rule("symbols", lambda t: n_symbols(t) * 5 > n_words(t)),
-    Rule("capitals", lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")) * 10 > F.length(t) * 3),
-    Rule("repeated_lines", lambda t: F.get(F.transform(F.array(word_lines(t)), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 2 > F.size(x)), 0)),
-    Rule("word_length", lambda t: _with_words(t, lambda w: ~F.length(F.array_join(w, "")).between(F.size(w) * 2, F.size(w) * 15))),
-    Rule("repeated_words", lambda t: _with_words(t, lambda w: repeat_words(w) * 100 > F.size(w) * 50)),
+    Rule("symbols", lambda t: n_symbols(t) * 5 > n_words(t), passes=2),
+    Rule("capitals", lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")) * 10 > F.length(t) * 3, passes=1.2),
+    Rule("repeated_lines", lambda t: F.get(F.transform(F.array(word_lines(t)), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 2 > F.size(x)), 0), passes=2.5),
+    Rule("word_length", lambda t: _with_words(t, lambda w: ~F.length(F.array_join(w, "")).between(F.size(w) * 2, F.size(w) * 15)), passes=1.5, word_steps=4),
+    Rule("repeated_words", lambda t: _with_words(t, lambda w: repeat_words(w) * 100 > F.size(w) * 50), passes=1.5, word_steps=40),
 )
 
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost, both from up to sample_rows rows; the given order decides ties.
+    """The rules by rejection per cost, both from a sample; the given order decides ties.
 
-    A rule's cost is the time to apply it alone to the sample, the least of three, less that of a rule that looks at
-    nothing; its rejection is the share of the sample that it rejects. The sample is the first rows found: it is the order
-    of the work that depends on them, never a verdict.
+    A rule's rejection is the number of sampled rows that it rejects, its cost the work on them, counted and not timed,
+    so that the same table always gives the same order. The sample is those rows whose hash is divisible by the number
+    that leaves about sample_rows of them, wherever they lie, and at most eight times as many where rows repeat: the
+    order of the work depends on them, never a verdict.
     """
-    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample_rows).persist()
-    rows = max(1, sample.count())
-
-    def tried(fails: Column) -> tuple[int, float]:
-        runs = []
-        for _ in range(3):
-            began = time.perf_counter()
-            rejected = sample.where(F.coalesce(fails, F.lit(False))).count()
-            runs.append(time.perf_counter() - began)
-        return rejected, min(runs)
-
-    idle, ranked = tried(F.col("t").isNull())[1], []
-    for k, rule in enumerate(rules):
-        rejected, took = tried(rule.fails(F.col("t")))
-        ranked.append((-(rejected / rows) / max(took - idle, 1e-3), k, rule))
-    sample.unpersist()
-    return [rule for *_, rule in sorted(ranked, key=lambda x: x[:2])]
+    share = max(1, docs.count() // max(sample_rows, 1))
+    hashed = F.xxhash64(*[F.col(quoted(c)) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    sample = docs.where(F.pmod(hashed, F.lit(share)) == 0).select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("t")).limit(8 * sample_rows)
+    t = F.col("t")
+    found = sample.agg(*[f for k, rule in enumerate(rules) for f in (F.count_if(F.coalesce(rule.fails(t), F.lit(False))).alias(f"n{k}"), F.sum(rule.work(t)).alias(f"work{k}"))]).first()
+    ranked = [(-(found[f"n{k}"] / max(found[f"work{k}"] or 0.0, 1.0)), k) for k in range(len(rules))]
+    return [rules[k] for _, k in sorted(ranked)]
 
 
 def verdict(text: Column, ordered: Sequence[Rule]) -> Column:
@@ -139,7 +135,7 @@ def verdict(text: Column, ordered: Sequence[Rule]) -> Column:
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with all their columns. Null, empty and short texts go (few_words);
     repeated rows are judged alike; an empty table stays empty. The verdict doesn't depend on the order of the rules."""
-    return docs.where(verdict(F.col(text), order_rules(docs, rules, text, sample_rows)))
+    return docs.where(verdict(F.col(quoted(text)), order_rules(docs, rules, text, sample_rows)))
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -152,4 +148,4 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sa
     measured = measures(docs, text)
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     rest = [r for r in order_rules(docs, rules, text, sample_rows) if r.name not in ("few_words", "repeated_words")]
-    return measured.withColumn("base_failed", base).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(F.col(text), rest)))
+    return measured.withColumn("base_failed", base).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(F.col(quoted(text)), rest)))
