@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import WORD, materialize
+from eventloom.llm.common import WORD, discard, materialize, quoted
 
 #: No source is taken more often than so many times its size, and weights repeat over the sources in this order.
 MOST = 3
@@ -25,6 +25,8 @@ BLOCKS = 1024
 #: Times that later blocks are looked through for such as fit into what a quota has left.
 ROUNDS = 4
 SHARDS = 64
+#: Words of a shard's part that one task writes, and most partitions of the mix.
+PART_WORDS, MOST_PARTS = 20_000_000, 65536
 SEED = 42
 
 
@@ -84,8 +86,8 @@ def shard_runs(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
 
 
 def _keyed(docs: DataFrame, key: str, text: str, source: str, blocks: int, seed: int) -> list[Column]:
-    h = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text))
-    return [F.col(source).alias("source"), n_words(F.col(text)).alias("size"), h.alias("h"), F.pmod(h, F.lit(blocks)).cast("int").alias("block")]
+    h = F.xxhash64(F.lit(seed), F.col(quoted(key)).cast("string"), F.col(quoted(text)))
+    return [F.col(quoted(source)).alias("source"), n_words(F.col(quoted(text))).alias("size"), h.alias("h"), F.pmod(h, F.lit(blocks)).cast("int").alias("block")]
 
 
 def block_draws(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -136,19 +138,43 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     Size is the number of words, 0 for a null or empty text. A null source is a source of its own. Repeated rows are
     drawn one by one. A source without words has the target 0 and nothing is drawn. An empty table gives no rows.
     """
-    rows = materialize(docs.select(F.col(key).alias("doc"), *_keyed(docs, key, text, source, blocks, seed)))
+    rows = materialize(docs.select(F.col(quoted(key)).alias("doc"), *_keyed(docs, key, text, source, blocks, seed)))
     table = block_draws(rows, shards, seed)
     return _with_copies(rows, table).select(F.col("doc").alias(key), "source", "size", "source_size", "target", "copies")
 
 
+def _last_of_part(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """table and upto_h: where a block is drawn in part, the last hash of which documents are taken, in the order of
+    their hashes; rows of an equal hash, which repeat key and text, are taken together or not at all."""
+    part = table.where(F.exists("draws", lambda d: d["part"]))
+    t = part.select(F.col("source").alias("s"), F.col("block").alias("b"), "remain")
+    inside = rows.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))  # a block of each source
+    each = inside.where(F.col("size") <= F.col("remain")).groupBy("s", "b", "h").agg(F.sum("size").alias("size"), F.first("remain").alias("remain"))
+    upto = F.sum("size").over(Window.partitionBy("s", "b").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    last = each.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("remain")).groupBy("s", "b").agg(F.max("h").alias("upto_h"))
+    return table.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mixed documents: a row for each copy with all columns of docs and shard; partitions hold whole shards, shuffled.
+    """The mixed documents: a row for each copy with all columns of docs and shard.
 
-    A column of docs named shard is replaced; all other names are free.
+    Rows of a shard come in a hashed order, in parts of some PART_WORDS words, each part in a partition of its own
+    or with others; texts are shuffled once, to their part. Sizes and hashes decide alone what is taken. A column of docs
+    named shard is replaced; all other names are free. Null and empty texts have no size and come with their block;
+    of rows that repeat key and text a block drawn in part takes all or none; an empty table stays empty.
     """
     own = [c for c in docs.columns if c != "shard"]
-    rows = docs.select(F.struct(*own).alias("doc"), *_keyed(docs, key, text, source, blocks, seed))
-    table = block_draws(materialize(rows.select("source", "size", "h", "block")), shards, seed)
-    drawn = _with_copies(rows, table).select("doc", "h", F.explode("copies").alias("c"))
-    local = drawn.repartition("c.shard").sortWithinPartitions("c.shard", F.xxhash64(F.lit(seed), "h", "c.pass"), "h")
-    return local.select("doc.*", F.col("c.shard").alias("shard"))
+    sizes = materialize(docs.select(*_keyed(docs, key, text, source, blocks, seed)))
+    drawn = block_draws(sizes, shards, seed)
+    table = materialize(_last_of_part(sizes, drawn).select(F.col("source").alias("s"), F.col("block").alias("b"), "remain", "draws", "upto_h"))
+    words = sizes.agg(F.sum("size").alias("n")).first().n
+    parts = max(1, min(MOST_PARTS, math.ceil((words or 0) / shards / PART_WORDS)))
+    discard(sizes, drawn)
+    rows = docs.select(F.struct(*map(quoted, own)).alias("doc"), *_keyed(docs, key, text, source, blocks, seed))
+    both = rows.join(table, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    taken = F.filter("draws", lambda d: ~d["part"] | ((F.col("size") <= F.col("remain")) & (F.col("h") <= F.col("upto_h"))))
+    each = both.select("doc", "h", F.explode(taken).alias("c")).withColumn("at", F.xxhash64(F.lit(seed), "h", "c.pass"))
+    # parts of equal ranges of the hash that rows are ordered by
+    each = each.withColumn("part", F.floor((F.shiftrightunsigned("at", 44).cast("double")) * parts / (1 << 20)).cast("int"))
+    local = each.repartition(min(shards * parts, MOST_PARTS), F.col("c.shard"), F.col("part")).sortWithinPartitions("c.shard", "part", "at", "h")
+    return local.select(*[F.col("doc")[c].alias(c) for c in own], F.col("c.shard").alias("shard"))
