@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize
+from eventloom.llm.common import materialize, quoted
 
 WINDOW = 3
 
 
 def line_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, tid, at, a, b): two 64-bit hashes of each window that has a word; at is the place of its first line."""
-    lines = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(text).alias("tid"), F.split(text, "\n").alias("lines"))
+    lines = docs.where(F.col(quoted(text)).isNotNull()).select(F.col(quoted(key)).alias("id"), F.xxhash64(quoted(text)).alias("tid"), F.split(quoted(text), "\n").alias("lines"))
     hashed = lines.select("id", "tid", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), x.rlike(r"[^\x20\x09-\x0D]").alias("w"))).alias("l"))
     steps = range(window)
     each = F.transform(
@@ -57,10 +57,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = repeated_lines(docs, key, text, window).select(F.col("id").alias("gid"), F.col("tid").alias("gtid"), "gone")
-    rows = docs.select(F.struct(*own).alias("doc"), F.col(key).alias("id"), F.xxhash64(text).alias("tid"))
-    both = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("tid") == F.col("gtid")), "left").select("doc", "gone", F.split(f"doc.{text}", "\n").alias("lines"))
+    rows = docs.select(F.struct(*map(quoted, own)).alias("doc"), F.col(quoted(key)).alias("id"), F.xxhash64(quoted(text)).alias("tid"))
+    both = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("tid") == F.col("gtid")), "left").select("doc", "gone", F.split(F.col("doc")[text], "\n").alias("lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    left = F.when(F.col("gone").isNull(), F.col(f"doc.{text}")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    left = F.when(F.col("gone").isNull(), F.col("doc")[text]).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
     return both.select(
         *[(left if c == text else F.col("doc")[c]).alias(c) for c in own],
         F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),

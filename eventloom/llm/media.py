@@ -21,6 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from eventloom.llm.common import map_batches, quoted
 
 BLOCK, SIDE, FPS = 64, 64, 25
 BLOCKS = (SIDE // 8) ** 2  # of a frame
@@ -382,7 +385,6 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     A null text is an empty one, stored as 64 bytes of 0. Repeated rows give equal files; other columns are not looked
     at; an empty table gives no rows.
     """
-    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,8 +393,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 files = [avi(_padded(t.as_py())) for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(files, pa.binary())], [key, "n_bytes", "media"])
 
-    picked = docs.select(F.col(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return picked.mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
+    if key in ("n_bytes", "media"):
+        raise ValueError("the key has the name of a result")
+    picked = docs.select(F.col(quoted(key)), F.coalesce(F.octet_length(quoted(text)), F.lit(0)).cast("long"), F.coalesce(F.col(quoted(text)), F.lit("")))
+    return map_batches(picked, run, StructType([docs.schema[key], *StructType.fromDDL("n_bytes long, media binary").fields]))
 
 
 _CLIP = "struct<clip:int,start_s:double,end_s:double,frames:int>"
@@ -402,11 +406,13 @@ def read(media: DataFrame) -> DataFrame:
     """media (with a column media) and payload, histogram (of all frames), clips: the timed shots; see clips().
 
     Any AVI file of sequential motion-JPEG is read; payload is null unless the file is of encode(). A null, a file of
-    another kind and a damaged one have null in all three.
+    another kind and a damaged one have null in all three. Columns of media with these names are replaced; all other
+    names are free. Rows that repeat are read alike and all stay.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
+    media = media.drop("payload", "histogram", "clips")
+    names = media.columns
     clip = pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32())])
-    at = media.columns.index("media")
+    at = names.index("media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -423,15 +429,18 @@ def read(media: DataFrame) -> DataFrame:
                     payloads.append(payload)
                     sums.append(h.sum(axis=0).tolist())
                     cuts.append([{"clip": n, "start_s": a / fps, "end_s": b / fps, "frames": b - a} for n, (a, b) in enumerate(shots(h))])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), pa.array(sums, pa.list_(pa.int64())), pa.array(cuts, pa.list_(clip))], [*part.schema.names, "payload", "histogram", "clips"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), pa.array(sums, pa.list_(pa.int64())), pa.array(cuts, pa.list_(clip))], [*names, "payload", "histogram", "clips"])
 
-    return media.mapInArrow(run, f"{fields}, payload binary, histogram array<long>, clips array<{_CLIP}>")
+    made = StructType.fromDDL(f"payload binary, histogram array<long>, clips array<{_CLIP}>")
+    return map_batches(media, run, StructType([*media.schema.fields, *made.fields]))
 
 
 def clips(media: DataFrame) -> DataFrame:
     """A row for each timed shot: the columns of media but the file, and clip, start_s, end_s, frames.
 
-    A file that can't be read (see read()) or has no frames gives one row with null in these four.
+    A file that can't be read (see read()) or has no frames gives one row with null in these four. Columns of media with
+    the name of a result, payload and histogram among them, are replaced; all other names are free.
     """
-    own = [c for c in media.columns if c != "media"]
-    return read(media).select(*own, F.inline_outer("clips"))
+    own = [c for c in media.columns if c not in ("media", "payload", "histogram", "clips", "clip", "start_s", "end_s", "frames")]
+    found = read(media).select(F.struct(*map(quoted, own)).alias("own"), F.inline_outer("clips")) if own else read(media).select(F.inline_outer("clips"))
+    return found.select(*[F.col("own")[c].alias(c) for c in own], "clip", "start_s", "end_s", "frames")

@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+
+from eventloom.llm.common import map_batches, quoted
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -93,14 +96,16 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 ids = table.lists(part.column(len(own)).to_pylist(), tail)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], ids], [*own, "ids"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("\0text")).mapInArrow(run, f"{fields}, ids array<int>")
+    schema = StructType([docs.schema[c] for c in own]).add("ids", ArrayType(IntegerType()))
+    return map_batches(docs.select(*map(quoted, own), F.coalesce(F.col(quoted(text)), F.lit(""))), run, schema)
 
 
 def decode(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", model: str | None = None) -> DataFrame:
     """tokens and decoded, the library's text for the ids; null ids give an empty text. Other columns are kept, but for
     one named decoded, which is replaced; repeated rows all stay; an empty table stays empty."""
     path = model or default_model()
+    tokens = tokens.drop("decoded")
+    names, at = tokens.columns, tokens.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sentencepiece import SentencePieceProcessor
@@ -108,12 +113,10 @@ def decode(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", model: str
         sp = SentencePieceProcessor(model_file=path)
         for batch in batches:
             for part in _parts(batch):
-                texts = [sp.decode(x) if x else "" for x in _lists(part.column(part.schema.get_field_index(ids)))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+                texts = [sp.decode(x) if x else "" for x in _lists(part.column(at))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
-    tokens = tokens.drop("decoded")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
-    return tokens.mapInArrow(run, f"{fields}, decoded string")
+    return map_batches(tokens, run, StructType([*tokens.schema.fields]).add("decoded", StringType()))
 
 
 def lengths(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:

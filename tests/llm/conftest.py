@@ -22,7 +22,7 @@ ODD = [
     (12, "ab cd ef gh " * 30_000, "en", "b", 1),
     (13, "Zwei  Leerzeichen　und \U0001f600 \x00 Ende ", "de", "b", 1),
 ]
-CLASHING = ["id", "tid", "h", "doc", "size", "block", "t", "shard", "ids", "lines", "gone", "words", "kept", "n_words", "media", "n_bytes", "vslot", "slot", "n_removed", "component_id", "n_shingles", "copies", "draws", "base", "found", "near_rid", "rid", "_words", "_lines", "near_row", "s"]
+CLASHING = ["id", "tid", "h", "doc", "size", "block", "t", "shard", "ids", "lines", "gone", "words", "kept", "n_words", "media", "n_bytes", "vslot", "slot", "n_removed", "component_id", "n_shingles", "copies", "draws", "base", "found", "near_rid", "rid", "_words", "_lines", "near_row", "s", "clips", "payload", "histogram", "clip", "a.b", "upto_h", "c", "at"]
 
 
 @pytest.fixture
@@ -30,7 +30,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, SCHEMA)
-    return df.withColumns({c: F.lit("mine") for c in CLASHING})
+    return df.select("*", *[F.lit("mine").alias(c) for c in CLASHING])
 
 
 @pytest.fixture
