@@ -180,6 +180,21 @@ def count_token(text: Column, term: str) -> Column:
     return F.regexp_count(F.lower(text), F.lit(rf"(?U)(?<!{_LATIN}){term}(?!{_LATIN})"))
 
 
+# Words that are no keywords, Chinese and English.
+CHINESE_STOPWORDS = (
+    "我 你 他 她 它 我们 你们 他们 自己 什么 哪 哪里 的 地 得 了 着 过 啊 呢 吧 啦 呀 和 与 及 或 而 但 但是 然而 虽然 因为 所以 如果 "
+    "在 从 向 到 对 于 为 以 把 被 让 给 很 非常 太 更 最 都 也 就 才 只 还 又 再 是 有 做 去 来 说 要 会 能 可以 应该 需要 "
+    "一 二 三 个 些 点 这 那 这个 那个 这些 那些 等 等等 就是 可能 已经 正在 没有 不 没"
+).split()
+ENGLISH_STOPWORDS = (
+    "a an the i you he she it we they me him her us them my your his its our their this that these those who whom what which whose "
+    "where when why how in on at to for of with by from into through during before after above below between under about and but or "
+    "nor so yet both either neither if then is are was were be been being have has had do does did will would could should may might "
+    "must can not no only just also very too more most than as such some any all each every other another"
+).split()
+STOPWORDS = (*CHINESE_STOPWORDS, *ENGLISH_STOPWORDS)
+
+
 def keywords(text: Column, top: int = 20, least: int = 3, stopwords: Sequence[str] = ()) -> Column:
     """The fallback extraction: capitalised or plain words of some length but stopwords, distinct, in order."""
     found = F.regexp_extract_all(text, F.lit(rf"\b[A-Za-z][A-Za-z0-9\-]{{{least - 1},}}\b"), F.lit(0))

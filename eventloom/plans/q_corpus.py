@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
+from eventloom.operators import lexicon as lx
 from eventloom.operators import summaries as sm
-from eventloom.operators.lineage import shared_folder
+from eventloom.operators.lineage import materialize, shared_folder
 from eventloom.operators.vector_index import VectorIndex
 from eventloom.plans.catalog import query, table
 
@@ -34,3 +35,20 @@ def indexed_knn(spark, d):
     index = VectorIndex.build(rows, "vec_id", "embedding", shared_folder(spark), carry=["label"])
     found = index.search(rows.where("vec_id % 50 = 0"), "embedding", 10, where=F.col("label") == 3)
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in tx.ENGLISH_STOPWORDS)
+
+
+@query(rf"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9]*')) AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM t), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM e GROUP BY 1),
+tf AS (SELECT doc_id, term, count(*) AS k, min(pos) AS pos FROM e WHERE length(term) >= 2 AND term NOT IN ({_STOP}) GROUP BY 1, 2),
+s AS (SELECT doc_id, term, pos, k / sum(k) OVER (PARTITION BY doc_id) * ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) AS weight FROM tf JOIN df USING (term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, pos) AS nth FROM s)
+SELECT doc_id, nth::INT AS nth, term, round(weight, 8) AS weight FROM r WHERE nth <= 10""")
+def tfidf_keywords(spark, d):
+    """Ten keywords of each document by a stored model of the corpus."""
+    docs = table(spark, d, "documents").select("doc_id", lx.latin_words(F.coalesce("text", F.lit(""))).alias("tokens"))
+    model = materialize(lx.document_frequencies(docs))
+    found = lx.keywords(docs, model, top=10).select("doc_id", F.posexplode("keywords").alias("k", "w"))
+    return found.select("doc_id", (F.col("k") + 1).alias("nth"), "w.term", F.round("w.weight", 8).alias("weight"))
