@@ -3,18 +3,19 @@
 A text's pieces are cut where the two words at a place hash to a trigger, so equal passages are cut alike wherever they
 stand. A chunk owns the words from one trigger to the next and carries the four words after them, so each phrase of up
 to five words lies whole in the one chunk that owns its first word, and overlaps are counted once. The distinct chunks
-with their frequencies are the dictionary; phrases are counted in it, weighted, one length at a time: a phrase can be
-frequent only if both phrases one word shorter in it are. These are looked up in a filter of bits of bounded size, whose
-false hits cost counting only; all counts are exact.
+with their frequencies are the dictionary; phrases are counted in it, weighted. A phrase can be frequent only if both
+phrases one word shorter in it are, so lengths are searched one by one, by hashes: these can only count too many. What
+is left is then counted once more by its words, exactly. Hashes are looked up in a filter of bits of bounded size, whose
+false hits cost counting only.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +28,11 @@ LONGEST = 5
 TRIGGER, MOST_OWN = 24, 1024
 #: Bits of the filter: for each frequent phrase, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 28
-#: Words of a dictionary that a task counts at a time, and distinct words for which it keeps numbers.
-AT_A_TIME, MOST_WORDS = 1 << 21, 1 << 20
+#: Bytes of texts or chunks that a task works on at a time.
+AT_A_TIME = 12 << 20
 
-_END = b"\xff"  # never a byte of UTF-8
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _END * 10)
+#: Lower case for A-Z, and a full stop, which is in no word, for every mark that ends a piece.
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9)
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -40,117 +41,105 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Words:
-    """A task's numbers for words, with a hash of each; 0 is the end of a piece. Emptied by the caller when full."""
+def _some(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
+    """Rows of the batches, so many that a column's bytes come to AT_A_TIME or so; a row is never split."""
+    held, size = [], 0
+    for batch in batches:
+        at = batch.column(column).offset
+        ends = np.frombuffer(batch.column(column).buffers()[1], np.int32)[at : at + batch.num_rows + 1] if batch.num_rows else [0]
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + AT_A_TIME - size, "right")) - 1)
+            high = min(high, batch.num_rows)
+            held.append(batch.slice(low, high - low))
+            size += int(ends[high] - ends[low])
+            low = high
+            if size >= AT_A_TIME or low < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
-    def __init__(self):
-        self.clear()
 
-    def clear(self) -> None:
-        self.numbers, self.words, self.hashes = {_END: 0}, [_END], [0]
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        numbers, get = self.numbers, self.numbers.get
-        out = [get(w, -1) for w in words]
-        if -1 in out:
-            for w in set(words):
-                if w not in numbers:
-                    numbers[w] = len(self.words)
-                    self.words.append(w)
-                    self.hashes.append(xxhash.xxh3_64_intdigest(w))
-            out = [numbers[w] for w in words]
-        return np.array(out, np.int64)
-
-    def hashed(self, numbers: np.ndarray) -> np.ndarray:
-        return np.array(self.hashes, np.uint64)[numbers]
-
-
-def split(text: str) -> list[bytes]:
-    """The words of a text, with A-Z in lower case and _END where a piece ends."""
-    return text.encode().translate(_FOLD).replace(_END, b" \xff ").split()
+def _column(table: pa.Table, k: int) -> pa.Array:
+    chunks = table.column(k).chunks
+    return chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)
 
 
 def chunks_of(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, chunk, own, n): the distinct chunks of each language, the words a chunk owns and its occurrences."""
-
-    def cuts(numbers: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(first, end of own, end of chunk) of the chunks of some texts' words, each text closed by an end."""
-        is_end = numbers == 0
-        pair = _mix(hashes * _P1 + np.append(hashes[1:], np.uint64(0)))
-        starts = np.flatnonzero(~is_end & (np.append(True, is_end[:-1]) | (pair % np.uint64(TRIGGER) == 0)))
-        ends = np.flatnonzero(is_end)
-        stop = ends[np.searchsorted(ends, starts)] if len(starts) else starts
-        until = np.minimum(np.append(starts[1:], len(numbers)), stop)
-        for a, b, c in zip(starts.tolist(), until.tolist(), stop.tolist(), strict=True):
-            for k in range(a, b, MOST_OWN):
-                own = min(k + MOST_OWN, b)
-                yield k, own, min(own + LONGEST - 1, c)
+    """(lang, chunk, own, n): the distinct chunks of each language, the words a chunk owns and its occurrences. Words
+    are parted by a space."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                langs, words, first = part.column(0).to_pylist(), [], [0]
-                for t in part.column(1):
-                    words += split(t.as_py())
-                    words.append(_END)
-                    first.append(len(words))
-                if len(known.words) > MOST_WORDS:
-                    known.clear()
-                numbers = known.of(words)
-                found: Counter = Counter()
-                row, last = 0, first[1] if len(first) > 1 else 0
-                for a, b, c in cuts(numbers, known.hashed(numbers)):
-                    while a >= last:
-                        row += 1
-                        last = first[row + 1]
-                    found[langs[row], b" ".join(words[a:c]), b - a] += 1
-                if found:
-                    keys = list(found)
-                    columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode() for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "chunk", "own", "n"])
+        for table in _some(batches, 1):
+            texts = [t.encode().translate(_FOLD) for t in _column(table, 1).to_pylist()]
+            pieces = np.cumsum([t.count(b".") + 1 for t in texts])  # that end with each text
+            words = b".".join([*texts, b""]).replace(b".", b" . ").split()
+            joined, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+            to = np.cumsum(sizes + 1) - 1
+            first, last = (np.frombuffer(joined, np.uint8)[x].astype(np.uint64) for x in (to - sizes, to - 1))
+            is_end = (sizes == 1) & (first == ord("."))
+            look = (first << np.uint64(8) | last) * _P1 + sizes.astype(np.uint64)
+            trigger = _mix(look * _P1 + np.append(look[1:], np.uint64(0))) % np.uint64(TRIGGER) == 0
+            begin = np.flatnonzero(~is_end & (np.append(True, is_end[:-1]) | trigger))
+            if not len(begin):
+                continue
+            ends = np.flatnonzero(is_end)
+            piece = np.searchsorted(ends, begin)
+            stop = ends[piece]
+            until = np.minimum(np.append(begin[1:], len(words)), stop)
+            parts = -(-(until - begin) // MOST_OWN)
+            if parts.max() > 1:  # places a long chunk is cut at are content, too: words from its trigger
+                nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                begin, until, stop, piece = (np.repeat(x, parts) for x in (begin, until, stop, piece))
+                begin = begin + nth * MOST_OWN
+                until = np.minimum(until, begin + MOST_OWN)
+            close = np.minimum(until + LONGEST - 1, stop)
+            low, high = (to - sizes)[begin].tolist(), to[close - 1].tolist()
+            found = pa.array([joined[a:b] for a, b in zip(low, high, strict=True)], pa.binary()).cast(pa.string())
+            row = np.searchsorted(pieces, piece, "right")
+            yield pa.RecordBatch.from_arrays([_column(table, 0).take(pa.array(row)), found, pa.array((until - begin).astype(np.int32)), pa.array(np.ones(len(begin), np.int64))], ["lang", "chunk", "own", "n"])
 
     rows = docs.select(F.coalesce(F.col(quoted(lang)).cast("string"), F.lit("und")), F.coalesce(F.col(quoted(text)), F.lit(""))).toDF("lang", "t")
     return rows.mapInArrow(parse, "lang string, chunk string, own int, n long").groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
 
 
-def _phrase_hash(words: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
-    h = lang.copy()
-    for w in words:
-        h = h * _P1 + w
-    return _mix(h)
-
-
-def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a phrase in a filter of so many bits, a power of two."""
-    low = np.uint64(bits - 1)
-    return (h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)
-
-
-def _lang_hash(lang: str) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode(), seed=1)
+class Block:
+    """Some chunks' words as numbers, and the places that they own."""
+
+    def __init__(self, table: pa.Table):
+        lists = pc.split_pattern(_column(table, 1), " ")
+        words, langs = lists.flatten().dictionary_encode(), _column(table, 0).dictionary_encode()
+        self.words, self.langs = words.dictionary.to_pylist(), langs.dictionary.to_pylist()
+        self.numbers = words.indices.to_numpy().astype(np.int64)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        self.hashes = hashes[self.numbers]
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        own, n = _column(table, 2).to_numpy().astype(np.int64), _column(table, 3).to_numpy()
+        self.at = np.repeat(ends[:-1] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        self.left = np.repeat(ends[1:], own) - self.at  # words from a place to its chunk's end
+        self.n = np.repeat(n, own)
+        self.lang = np.repeat(langs.indices.to_numpy().astype(np.int64), own)
+        self.by = np.fromiter((xxhash.xxh3_64_intdigest(x, seed=1) for x in self.langs), np.uint64, len(self.langs))
+
+    def phrases(self, length: int, places: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Hashes of the phrases of a length that begin `skip` words after some places."""
+        h = self.by[self.lang[places]]
+        for d in range(skip, skip + length):
+            h = h * _P1 + self.hashes[self.at[places] + d]
+        return _mix(h)
 
 
 def filter_of(frequent: DataFrame) -> np.ndarray:
-    """Bits of the phrases in frequent (lang, phrase), as bytes; sized by their number up to MOST_BITS, so that neither
-    the driver nor a task holds more. Where it is full it lets too many pass, and counting takes longer."""
-    count = frequent.count()
-    bits = 1 << 15
+    """Bits of the hashes in frequent (h), as bytes; sized by their number up to MOST_BITS, so that neither the driver
+    nor a task holds more. Where it is full it lets too many pass, and counting takes longer."""
+    count, bits = frequent.count(), 1 << 15
     while bits < min(BITS_EACH * count, MOST_BITS):
         bits *= 2
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [np.array([xxhash.xxh3_64_intdigest(w)], np.uint64) for w in phrase.encode().split(b" ")]
-                hashes.append(_phrase_hash(words, np.array([_lang_hash(lang)], np.uint64))[0])
-            both = np.concatenate(_places(np.array(hashes, np.uint64), bits))
-            yield pa.RecordBatch.from_arrays([pa.array(both + 1)], ["at"])
-
     # Spark's bitmaps hold 32768 bits each and count from 1
-    marked = frequent.select("lang", "phrase").mapInArrow(places, "at long").groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    at = F.explode(F.array(F.col("h").bitwiseAND(bits - 1) + 1, F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1) + 1)).alias("at")
+    marked = frequent.select(at).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for r in marked.toLocalIterator():
         out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
@@ -158,91 +147,77 @@ def filter_of(frequent: DataFrame) -> np.ndarray:
 
 
 def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    first, second = _places(h, len(bitmap) * 8)
-    bit = lambda at: (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-    return (bit(first) & bit(second)).astype(bool)
+    low = np.uint64(len(bitmap) * 8 - 1)
+    bit = lambda at: (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+    return (bit(h & low) & bit((h >> np.uint64(32)) & low)).astype(bool)
+
 
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each distinct key, sum of n over it)."""
+    order = np.argsort(keys, kind="stable")
+    opens = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(order) else order
+    return order[opens], np.add.reduceat(n[order], opens) if len(opens) else n
 
-def count_phrases(chunks: DataFrame, length: int, shorter: np.ndarray | None) -> DataFrame:
-    """(lang, phrase, f): occurrences of the phrases of a length both of whose parts one word shorter are in the filter
+
+def count_hashes(chunks: DataFrame, length: int, shorter: np.ndarray | None) -> DataFrame:
+    """(h, f): occurrences by hash of the phrases of a length both of whose parts one word shorter are in the filter
     shorter; of all words for length 1."""
-    spark = chunks.sparkSession
-    sent = spark.sparkContext.broadcast(shorter) if shorter is not None else None  # at most MOST_BITS / 8 bytes
+    sent = chunks.sparkSession.sparkContext.broadcast(shorter) if shorter is not None else None  # MOST_BITS / 8 bytes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _some(batches, 1):
+            block = Block(table)
+            places = np.flatnonzero(block.left >= length)
+            for skip in (0, 1) if sent is not None else ():
+                places = places[_has(sent.value, block.phrases(length - 1, places, skip))]
+            h = block.phrases(length, places)
+            one, f = _sums(h, block.n[places])
+            yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(f)], ["h", "f"])
+
+    return chunks.select("lang", "chunk", "own", "n").mapInArrow(count, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+
+
+def count_phrases(chunks: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(lang, phrase, words, f): exact occurrences of the phrases of one to five words whose hash is in the filter."""
+    sent = chunks.sparkSession.sparkContext.broadcast(wanted)  # MOST_BITS / 8 bytes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, langs, lang_hashes = Words(), {}, []
-        words: list[bytes] = []
-        rows: list[tuple[int, int, int, int]] = []  # (lang, first word, own, n)
-
-        def give() -> Iterator[pa.RecordBatch]:
-            numbers = known.of(words)
-            begin, own, weight = (np.array(x, np.int64) for x in zip(*((r[1], r[2], r[3]) for r in rows), strict=True))
-            at = np.repeat(begin - np.append(0, np.cumsum(own)[:-1]), own) + np.arange(own.sum())
-            lang, n = np.repeat(np.array([r[0] for r in rows]), own), np.repeat(weight, own)
-            inside = at + length <= len(numbers)
-            at, lang, n = at[inside], lang[inside], n[inside]
-            for d in range(1, length):
-                fits = numbers[at + d] != 0
-                at, lang, n = at[fits], lang[fits], n[fits]
-            if sent is not None and len(at):
-                h = known.hashed(numbers)
-                by = np.array(lang_hashes, np.uint64)[lang]
-                keep = _has(sent.value, _phrase_hash([h[at + d] for d in range(length - 1)], by))
-                at, lang, n, by = at[keep], lang[keep], n[keep], by[keep]
-                keep = _has(sent.value, _phrase_hash([h[at + d] for d in range(1, length)], by))
-                at, lang, n = at[keep], lang[keep], n[keep]
-            # equal phrases get equal numbers, word by word
-            key = lang
-            for d in range(length):
-                _, key = np.unique(key * len(known.words) + numbers[at + d], return_inverse=True)
-            order = np.argsort(key, kind="stable")
-            opens = np.flatnonzero(np.append(True, np.diff(key[order]) > 0)) if len(order) else order
-            sums, one = np.add.reduceat(n[order], opens) if len(opens) else n, at[order][opens]
-            names = list(langs)
-            for k in range(0, len(one), 65536):
-                some = one[k : k + 65536]
-                phrases = [b" ".join(words[a : a + length]).decode() for a in some.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[x] for x in lang[order][opens][k : k + 65536].tolist()], pa.string()), pa.array(phrases, pa.string()), pa.array(sums[k : k + 65536], pa.int64())], ["lang", "phrase", "f"]
-                )
-            words.clear()
-            rows.clear()
-            if len(known.words) > MOST_WORDS:
-                known.clear()
-
-        for batch in batches:
-            for lang, chunk, own, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if lang not in langs:
-                    langs[lang] = len(langs)
-                    lang_hashes.append(_lang_hash(lang))
-                rows.append((langs[lang], len(words), own, n))
-                words += chunk.encode().split(b" ")
-                words.append(_END)
-                if len(words) >= AT_A_TIME:
-                    yield from give()
-        if rows:
-            yield from give()
-
-    found = chunks.select("lang", "chunk", "own", "n").mapInArrow(count, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        for table in _some(batches, 1):
+            block = Block(table)
+            places = np.arange(len(block.at))
+            for length in range(1, LONGEST + 1):
+                # a phrase that begins at a place is frequent only if its beginning is
+                places = places[block.left[places] >= length]
+                places = places[_has(sent.value, block.phrases(length, places))]
+                at = block.at[places]
+                key = block.lang[places] * len(block.words) + block.numbers[at]
+                for d in range(1, length):
+                    _, key = np.unique(key * len(block.words) + block.numbers[at + d], return_inverse=True)
+                one, f = _sums(key, block.n[places])
+                words = [block.numbers[at[one] + d].tolist() for d in range(length)]
+                phrases = [" ".join([block.words[k] for k in p]) for p in zip(*words, strict=True)]
+                langs = pa.array(block.langs, pa.string()).take(pa.array(block.lang[places][one]))
+                yield pa.RecordBatch.from_arrays([langs, pa.array(phrases, pa.string()), pa.array(np.full(len(one), length, np.int32)), pa.array(f)], ["lang", "phrase", "words", "f"])
+
+    found = chunks.select("lang", "chunk", "own", "n").mapInArrow(count, "lang string, phrase string, words int, f long")
+    return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, least: int, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f) of every phrase of one to five words that occurs at least `least` times, (lang, n) with
     each language's word occurrences)."""
     chunks = materialize(chunks_of(docs, text, lang))
-    totals = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
+    totals = materialize(chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n")))
     levels, bitmap = [], None
     for length in range(1, LONGEST + 1):
-        found = materialize(count_phrases(chunks, length, bitmap).where(F.col("f") >= least))
-        levels.append(found.withColumn("words", F.lit(length)))
-        if length < LONGEST:
-            bitmap = filter_of(found)
-    out = levels[0]
+        found = count_hashes(chunks, length, bitmap).where(F.col("f") >= least)
+        levels.append(materialize(found.select("h")))
+        bitmap = filter_of(levels[-1])
+    hashes = levels[0]
     for more in levels[1:]:
-        out = out.unionByName(more)
-    out, totals = materialize(out), materialize(totals)
-    discard(chunks)
+        hashes = hashes.unionByName(more)
+    out = materialize(count_phrases(chunks, filter_of(hashes)).where(F.col("f") >= least))
+    discard(chunks, *levels)
     return out, totals
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from eventloom.llm import collocations, queries
 from pyspark.sql import functions as F
@@ -40,9 +41,9 @@ def got(docs, least, top):
     return sorted(tuple(r) for r in collocations.collocations(docs, least, top).collect())
 
 
-@pytest.mark.parametrize("trigger, at_a_time, most_words, bits", [(24, 1 << 21, 1 << 20, 1 << 28), (2, 50, 5, 1 << 15), (10**9, 3000, 40, 1 << 15)])
-def test_brute_force(spark, monkeypatch, trigger, at_a_time, most_words, bits):
-    for name, value in dict(TRIGGER=trigger, AT_A_TIME=at_a_time, MOST_WORDS=most_words, MOST_BITS=bits, MOST_OWN=7).items():
+@pytest.mark.parametrize("trigger, at_a_time, bits", [(24, 12 << 20, 1 << 28), (2, 50, 1 << 15), (10**9, 3000, 1 << 15)])
+def test_brute_force(spark, monkeypatch, trigger, at_a_time, bits):
+    for name, value in dict(TRIGGER=trigger, AT_A_TIME=at_a_time, MOST_BITS=bits, MOST_OWN=7).items():
         monkeypatch.setattr(collocations, name, value)
     rng = random.Random(trigger)
     words = [*"abcdef", "É", "ß", "x-y", "\x00", "日本", "A", "\xa0"]
@@ -66,12 +67,23 @@ def test_large_numbers(spark):
     assert r.score == 1000 * 3 * 10**9 * (10**15 + 7) // (3 * 10**9 * (10**12 + 1))
 
 
+def test_parts():
+    """Batches are put together and cut by bytes; each row comes once, in order."""
+    texts = ["a" * k for k in (0, 3, 200, 0, 7, 30, 31, 1)] * 5
+    batches = [pa.record_batch([pa.array(texts[k : k + 7]), pa.array(texts[k : k + 7])], ["x", "t"]).slice(1 if k else 0) for k in range(0, 40, 7)]
+    want = [t for b in batches for t in b.column(1).to_pylist()]
+    for most in (1, 10, 100, 10**6):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(collocations, "AT_A_TIME", most)
+            got = [t.column(1).to_pylist() for t in collocations._some(iter(batches), 1)]
+        assert [x for part in got for x in part] == want
+        assert all(len(part) == 1 or sum(map(len, part[:-1])) <= most for part in got)
+
+
 def test_filter(spark):
-    frequent = spark.createDataFrame([("en", f"w{k} v") for k in range(3000)], "lang string, phrase string")
-    bitmap = collocations.filter_of(frequent)
-    words = collocations.Words()
-    h = words.hashed(words.of([x for k in range(9000) for x in (f"w{k}".encode(), b"v")]))
-    hit = collocations._has(bitmap, collocations._phrase_hash([h[0::2], h[1::2]], np.full(9000, collocations._lang_hash("en"), np.uint64)))
+    h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 9000)
+    bitmap = collocations.filter_of(spark.createDataFrame([(int(x),) for x in h[:3000]], "h long"))
+    hit = collocations._has(bitmap, h.view(np.uint64))
     assert hit[:3000].all() and hit[3000:].mean() < 0.1
 
 
