@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.sources.office import OFFICE_SUFFIXES
+from eventloom.sources.office import decode as decode_office
+
 TEXT_SUFFIXES = ("md", "markdown", "txt", "html", "htm", "csv", "json", "xml")
-#: Read as bytes; a decoder must be given to documents().
+#: Read as bytes; for other formats than Office's a decoder must be given to read_files().
 BINARY_SUFFIXES = ("docx", "doc", "pptx", "ppt", "xlsx", "xls", "pdf", "png", "jpg", "jpeg")
 
 
@@ -24,21 +27,33 @@ def html_to_text(html):
     return F.trim(F.regexp_replace(t, r"^\s+|\s+$", ""))
 
 
-def documents(spark: SparkSession, path: str, recursive: bool = True, decode=None) -> DataFrame:
-    """(path, suffix, text): the supported files of a folder; corrupt and empty ones are skipped, others aren't read.
+def read_files(spark: SparkSession, path: str, recursive: bool = True, decode=None) -> DataFrame:
+    """(path, suffix, bytes, text, error): a row for each supported file of a folder; others aren't read.
 
-    Markdown is taken as it is, HTML as text. decode: a function from a column of bytes and one of suffixes to text,
-    for the binary formats, which are left out without it.
+    Spark plans the files by their bytes. Markdown and other text is taken as it is, HTML as text, Word, PowerPoint and
+    Excel files as Markdown. decode: a function from a column of bytes and one of suffixes to text, for the other binary
+    formats, which are left out without it. A damaged file has a null text and the reason; a text without a sign but
+    white space is the error `empty`.
     """
-    suffixes = TEXT_SUFFIXES + (BINARY_SUFFIXES if decode else ())
+    others = tuple(s for s in BINARY_SUFFIXES if s not in OFFICE_SUFFIXES) if decode else ()
+    suffixes = (*TEXT_SUFFIXES, *OFFICE_SUFFIXES, *others)
     glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in suffixes) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).load(path)
-    files = files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), "content")
+    files = files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), F.col("length").alias("bytes"), "content")
+    office = F.col("suffix").isin(*OFFICE_SUFFIXES)
     raw = F.decode("content", "UTF-8")
     text = F.when(F.col("suffix").isin("html", "htm"), html_to_text(raw)).when(F.col("suffix").isin(*TEXT_SUFFIXES), raw)
     if decode:
         text = text.otherwise(decode(F.col("content"), F.col("suffix")))
-    return files.select("path", "suffix", text.alias("text")).where(F.length(F.trim("text")) > 0)
+    plain = files.where(~office).select("path", "suffix", "bytes", text.alias("text"), F.lit(None).cast("string").alias("error"))
+    out = plain.unionByName(decode_office(files.where(office)))
+    empty = F.col("error").isNull() & (F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "")) == 0)
+    return out.withColumns({"text": F.when(~empty, F.col("text")), "error": F.when(empty, "empty").otherwise(F.col("error"))})
+
+
+def documents(spark: SparkSession, path: str, recursive: bool = True, decode=None) -> DataFrame:
+    """(path, suffix, text): the files of read_files() that have a text."""
+    return read_files(spark, path, recursive, decode).where(F.col("text").isNotNull()).select("path", "suffix", "text")
 
 
 def conversation(messages: DataFrame, conversation_id, start=None, end=None, ts: str = "ts") -> DataFrame:
