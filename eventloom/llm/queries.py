@@ -134,7 +134,7 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents")))
+    out = byte_bpe.encode(_table(spark, sf_dir, "documents"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from array import array
 
 import public_tokenizers
 import pytest
@@ -42,7 +43,8 @@ def odd_bytes(ranks, n):
 
 
 def test_transducer_and_decoder(ranks, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "MOST_STEPS", 3000)
+    for name in ("MOST_STEPS", "MOST_PAIRS", "MOST_PIECES"):
+        monkeypatch.setattr(byte_bpe, name, 300 if name == "MOST_PIECES" else 3000)
     transducer, decoder = byte_bpe.Transducer(ranks), byte_bpe.Decoder(ranks)
     pieces = byte_bpe.Pieces(transducer)
     for raw in odd_bytes(ranks, 2000):
@@ -52,7 +54,8 @@ def test_transducer_and_decoder(ranks, library, monkeypatch):
         assert "".join(machine.feed(raw[k : k + 2]) for k in range(0, len(raw), 2)) + machine.close() == raw.decode("utf-8", "replace")
         assert decoder.feed(ids) + decoder.close() == raw.decode("utf-8", "replace")
     for k in range(500):
-        assert len(pieces[f"q{k}x{k * k}y"])
+        piece = f"q{k}x{k * k}y"
+        assert list(pieces[piece]) == list(array("i", library._core_bpe.encode_single_piece(piece.encode())).tobytes())
     assert len(transducer.steps) < 4000
 
 
@@ -77,6 +80,9 @@ def test_odd(spark, odd, none, rows, library):
     want = sorted((r[0] or 0, tuple(library.encode_ordinary(r[1] or "")), r[1] or "") for r in rows)
     assert sorted((r.doc_id or 0, tuple(r.ids), r.decoded) for r in got) == want
     assert all(r["a.b"] == r.media == "mine" for r in got)
+    both = byte_bpe.encode(odd, carry=("media", "decoded"), decoded=True)
+    assert both.columns == ["doc_id", "media", "ids", "decoded"]
+    assert sorted((r.doc_id or 0, tuple(r.ids), r.decoded) for r in both.collect()) == want
     assert byte_bpe.decode(byte_bpe.encode(none)).count() == 0
     ids = spark.createDataFrame([(1, None), (2, []), (3, [10**6, None]), (4, library.encode_ordinary("é")[:1])], "doc_id int, ids array<int>")
     assert {r.doc_id: r.decoded for r in byte_bpe.decode(ids).collect()} == {1: "", 2: "", 3: "��", 4: "é"} or library.encode_ordinary("é")[1:]
