@@ -89,11 +89,12 @@ RERANK_WEIGHTS = {"similarity": 1.5, "relation": 0.5, "density": 0.2, "bm25": 2.
 
 
 def relation_and_density(clues: DataFrame, item: str = "item_id") -> DataFrame:
-    """(item, relation, density) of clues (item, weight, hop, step, count, is_target): relation falls with hops."""
+    """(item, relation, density) of clues (item, weight, hop, step, count, is_target): relation falls with hops. Both are
+    rounded to 9 decimals, so that sums that differ by the order of their terms rank alike."""
     seen = clues.where("count > 0")
     return seen.groupBy(item).agg(
-        F.sum(F.col("weight") / (1 + F.col("hop")) * F.when(F.col("is_target"), 1.5).otherwise(1.0)).alias("relation"),
-        F.sum(F.col("weight") * F.log1p("count") / F.col("step")).alias("density"),
+        F.round(F.sum(F.col("weight") / (1 + F.col("hop")) * F.when(F.col("is_target"), 1.5).otherwise(1.0)), 9).alias("relation"),
+        F.round(F.sum(F.col("weight") * F.log1p("count") / F.col("step")), 9).alias("density"),
     )
 
 

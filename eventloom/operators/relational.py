@@ -216,7 +216,9 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], into: str, by: Sequ
 
 
 def ranked(rows: DataFrame, scores: Sequence[str], tie: str, by: Sequence[str] = ()) -> DataFrame:
-    """rank_<score> from 1 for each score, largest first; ties by key, so no two rows have the same rank."""
+    """rank_<score> from 1 for each score, largest first; ties by key, so no two rows have the same rank. The rows are
+    written once and counted and ranked from there."""
+    rows = materialize(rows)
     for s in scores:
         rows = numbered(rows, [F.desc(s), tie], f"rank_{s}", by)
     return rows

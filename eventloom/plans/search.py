@@ -191,24 +191,55 @@ def clue_edges(clues: DataFrame) -> DataFrame:
     return clues.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth").withColumn("confidence", c)
 
 
+def _distances(clues: DataFrame, origins: DataFrame, max_depth: int) -> DataFrame:
+    """(node, away) of the nodes that an origin reaches in so many steps or fewer: the least number of steps."""
+    far = rk.cut_lineage(origins.select(F.col("id").alias("node")).distinct().withColumn("away", F.lit(0)))
+    for depth in range(1, max_depth + 1):
+        last = far.where(F.col("away") == depth - 1)
+        new = clues.join(last.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(far, "node", "left_anti")
+        new = rk.cut_lineage(new.withColumn("away", F.lit(depth)))
+        if new.isEmpty():
+            break
+        far = far.unionByName(new)
+    return far
+
+
 def paths_to(clues: DataFrame, targets: DataFrame, origins: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(target, nodes, confidence, hops): all simple paths from an origin to a target along (src, dst, confidence).
+    """(target, nodes, confidence, hops): all simple paths of one step or more, max_depth at most, from an origin to a
+    target along (src, dst, confidence).
 
-    Walks back from the targets, a join for each step up to max_depth; a node appears once in a path. Confidence is the
-    product along the path, rounded to 4; of equal node sequences the best stays.
+    Nodes' distances from the origins are found first, forwards; the walk back from the targets then opens only such
+    paths as can still end within max_depth, and no path that no origin leads to. A node appears once in a path.
+    Confidence is the product along the path, rounded to 4; of parallel clues the best counts.
     """
-    back = clues.select("src", "dst", "confidence")
-    now = targets.select(F.col("id").alias("target"), F.array("id").alias("nodes"), F.array().cast("array<double>").alias("cs"))
+    best = rk.cut_lineage(clues.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")).where("src <> dst"))
+    far = rk.cut_lineage(_distances(best, origins, max_depth))
+    # a clue may be used by a path that has `away` steps or more before it
+    back = rk.cut_lineage(best.join(far.select(F.col("node").alias("src"), "away"), "src"))
+    ends = origins.select(F.col("id").alias("o")).distinct()
+    now = targets.select(F.col("id").alias("target")).distinct().join(far.select(F.col("node").alias("target")), "target", "left_semi")
+    now = now.select("target", F.col("target").alias("head"), F.array("target").alias("nodes"), F.lit(1.0).alias("product"))
     done = None
-    for _ in range(max_depth):
-        step = now.join(back, F.get("nodes", F.lit(0)) == F.col("dst")).where(~F.array_contains("nodes", F.col("src")))
-        now = rk.cut_lineage(step.select("target", F.array_prepend("nodes", F.col("src")).alias("nodes"), F.array_prepend("cs", F.col("confidence")).alias("cs")))
-        ended = now.join(origins.select(F.col("id").alias("o")), F.get("nodes", F.lit(0)) == F.col("o"), "left_semi")
+    for depth in range(1, max_depth + 1):
+        step = now.join(back, F.col("head") == F.col("dst")).where((F.col("away") + depth <= max_depth) & ~F.array_contains("nodes", F.col("src")))
+        now = rk.cut_lineage(step.select("target", F.col("src").alias("head"), F.array_prepend("nodes", F.col("src")).alias("nodes"), (F.col("confidence") * F.col("product")).alias("product")))
+        ended = now.join(ends, F.col("head") == F.col("o"), "left_semi")
         done = ended if done is None else done.unionByName(ended)
         if now.isEmpty():
             break
-    product = F.round(F.aggregate("cs", F.lit(1.0), lambda a, x: a * x), 4)
-    return done.groupBy("target", "nodes").agg(F.max(product).alias("confidence")).withColumn("hops", F.size("nodes") - 1)
+    if done is None:
+        done = now.limit(0)
+    return done.select("target", "nodes", F.round("product", 4).alias("confidence"), (F.size("nodes") - 1).alias("hops"))
+
+
+def resolve_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """paths with steps, an array of structs of the nodes' columns (id and others) in the path's order; a node that
+    isn't known has its id only. Nodes are joined by id, step by step, not sent with the paths."""
+    known = nodes.dropDuplicates(["id"]).withColumnRenamed("id", "_id")
+    numbered = rk.cut_lineage(paths.withColumn("_path", F.monotonically_increasing_id()))
+    steps = numbered.select("_path", F.posexplode("nodes").alias("_at", "id")).join(known, F.col("id") == F.col("_id"), "left")
+    each = steps.groupBy("_path").agg(F.array_sort(F.collect_list(F.struct("_at", F.struct("id", *[c for c in nodes.columns if c != "id"]).alias("n")))).alias("_steps"))
+    return numbered.join(each, "_path").withColumn("steps", F.transform("_steps", lambda x: x["n"])).drop("_path", "_steps")
 
 
 def shortest_and_longest(paths: DataFrame) -> DataFrame:
