@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
+from eventloom.operators import relational as rel
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -72,9 +73,13 @@ def merge_short(items: Column, length: str, size: str, least: int = 100, most: i
 
 
 def sentence_sections(chunks: DataFrame, article: str = "article_id", chunk: str = "chunk_id", rank: str = "rank", content: str = "content") -> DataFrame:
-    """(article, chunk, rank, content): sentences of all chunks, their rank running on over an article's chunks."""
+    """(article, chunk, rank, content): sentences of all chunks, their rank running on over an article's chunks.
+
+    Many sentences are numbered by ranges, so that no task holds all of a long article's.
+    """
     each = chunks.select(article, chunk, F.col(rank).alias("r"), F.posexplode(tx.sentences(F.col(content))).alias("pos", "content"))
-    return each.select(article, chunk, (F.row_number().over(Window.partitionBy(article).orderBy("r", chunk, "pos")) - 1).alias("rank"), "content")
+    placed = rel.numbered(each, ["r", chunk, "pos"], "place", [article])
+    return placed.select(article, chunk, (F.col("place") - 1).alias("rank"), "content")
 
 
 def windows(messages: DataFrame, ts: str = "ts", minutes: int = 60, by: tuple[str, ...] = ("conversation_id",), start=None, end=None, inclusive: bool = True) -> DataFrame:

@@ -195,14 +195,17 @@ def newest_per_key(rows: DataFrame, key: str, ts: str, n: int, tie: str) -> Data
 NUMBER_IN_ONE = 1 << 20
 
 
-def numbered(rows: DataFrame, order: Sequence[Column | str], into: str, by: Sequence[str] = ()) -> DataFrame:
+def numbered(rows: DataFrame, order: Sequence[Column | str], into: str, by: Sequence[str] = (), count: int | None = None) -> DataFrame:
     """rows and their place from 1 in a total order, within each group of by.
 
     Beyond NUMBER_IN_ONE rows the whole order is dealt out by range, places count within a range, and each range begins
     where the counts of those before it end: no task holds all rows of a group.
     """
     by, order = list(by), [F.col(c) if isinstance(c, str) else c for c in order]
-    if rows.count() <= NUMBER_IN_ONE:
+    if count is None:
+        rows = materialize(rows)  # counted and numbered from one writing
+        count = rows.count()
+    if count <= NUMBER_IN_ONE:
         return rows.withColumn(into, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
     dealt = materialize(rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("range_no", F.spark_partition_id()))
     counts = dealt.groupBy(*by, "range_no").agg(F.count(F.lit(1)).alias("range_n"))
@@ -219,8 +222,9 @@ def ranked(rows: DataFrame, scores: Sequence[str], tie: str, by: Sequence[str] =
     """rank_<score> from 1 for each score, largest first; ties by key, so no two rows have the same rank. The rows are
     written once and counted and ranked from there."""
     rows = materialize(rows)
+    count = rows.count()
     for s in scores:
-        rows = numbered(rows, [F.desc(s), tie], f"rank_{s}", by)
+        rows = numbered(rows, [F.desc(s), tie], f"rank_{s}", by, count)
     return rows
 
 

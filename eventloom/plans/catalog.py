@@ -46,4 +46,4 @@ EDGES = "e AS (SELECT DISTINCT l_orderkey AS event_id, l_partkey AS entity_id FR
 
 def load() -> None:
     """Registers all queries."""
-    from eventloom.plans import q_corpus, q_more, q_paths, q_ranking, q_stats, q_text, q_walk  # noqa: F401
+    from eventloom.plans import q_corpus, q_more, q_parsers, q_paths, q_ranking, q_stats, q_text, q_walk  # noqa: F401

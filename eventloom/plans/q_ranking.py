@@ -111,12 +111,11 @@ def event_weight_recall(spark, d):
     return rk.event_prior(edges(spark, d), k, q).select("event_id", F.round("weight", 6).alias("weight"))
 
 
-@query(f"WITH {_KEYS}, {_PRIOR} SELECT entity_id, round(avg(weight) + 1e-9, 6) AS weight FROM e JOIN p USING (event_id) GROUP BY 1")
+@query(f"WITH {_KEYS}, {_PRIOR} SELECT entity_id, round(avg(weight), 9) AS weight FROM e JOIN p USING (event_id) GROUP BY 1")
 def key_weight_recall(spark, d):
     k, q = _keys(spark, d)
     e = edges(spark, d)
-    # exact halves of the last place go up, in whatever order the means were summed
-    return rk.key_weight_recall(e, rk.event_prior(e, k, q, None)).select("entity_id", F.round(F.col("weight") + 1e-9, 6).alias("weight"))
+    return rk.key_weight_recall(e, rk.event_prior(e, k, q, None)).select("entity_id", F.round("weight", 9).alias("weight"))
 
 
 _MENTIONS = "m AS (SELECT l_orderkey AS event_id, l_discount AS weight, (l_linenumber % 3)::INT AS count, l_linenumber::INT AS step FROM lineitem)"

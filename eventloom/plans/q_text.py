@@ -95,7 +95,8 @@ def page_text(spark, d):
     return ch.sections(pages, "page_id", "text")
 
 
-@query()
+@query(r"""WITH s AS (SELECT source AS article_id, doc_id AS chunk_id, unnest(list_transform(string_split_regex(text, '[!?;。！？；]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS content, unnest(range(len(string_split_regex(text, '[!?;。！？；]+')))) AS pos FROM documents)
+SELECT article_id, chunk_id, row_number() OVER (PARTITION BY article_id ORDER BY chunk_id, pos) - 1 AS rank, content FROM s WHERE length(content) >= 5""")
 def document_sentences(spark, d):
     docs = table(spark, d, "documents").select(F.col("source").alias("article_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("rank"), F.col("text").alias("content"))
     return ch.sentence_sections(docs)
