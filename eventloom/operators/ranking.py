@@ -36,12 +36,14 @@ def knn_join(rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int,
 def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: Sequence[str], k1: float = 1.2, b: float = 0.75, min_score: float | None = None) -> DataFrame:
     """(key, score): fielded BM25, the best of the boosted field scores; only rows with a term of the query.
 
-    Terms are counted in the rows themselves, in one pass that leaves a narrow table; nothing is shuffled but the few
-    statistics of the fields.
+    Each text is cut into tokens once, in a pass that leaves a narrow table of counts; nothing is shuffled but the few
+    statistics of the fields. Where documents are searched again and again, keep a TextIndex.
     """
     terms = sorted({q.lower() for q in query})
     of = lambda f: F.coalesce(F.col(f), F.lit(""))
-    rows = docs.select(key, *[tx.count_tokens(of(f)).alias(f"dl_{f}") for f in fields], *[tx.count_token(of(f), q).alias(f"tf_{f}_{i}") for f in fields for i, q in enumerate(terms)])
+    equals = lambda term: lambda token: token == term
+    cut = docs.select(key, *[tx.tokens(of(f)).alias(f"t_{f}") for f in fields])
+    rows = cut.select(key, *[F.size(f"t_{f}").alias(f"dl_{f}") for f in fields], *[F.size(F.filter(f"t_{f}", equals(q))).alias(f"tf_{f}_{i}") for f in fields for i, q in enumerate(terms)])
     rows = cut_lineage(rows)
     facts = rows.agg(*[F.sum(F.when(F.col(f"dl_{f}") > 0, 1)).alias(f"n_{f}") for f in fields], *[F.avg(F.when(F.col(f"dl_{f}") > 0, F.col(f"dl_{f}"))).alias(f"avg_{f}") for f in fields], *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms))])
     both = rows.join(F.broadcast(facts))  # one row

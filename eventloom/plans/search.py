@@ -89,6 +89,11 @@ def hop_events(edges: DataFrame, keys: DataFrame, cfg: SearchConfig, names: Data
     return rk.normalize_to_max(rk.mention_weight(own, steps=True), cfg.events_per_hop)
 
 
+def _here(rows: DataFrame) -> DataFrame:
+    """rows, whose number a parameter bounds, as a table of the plan itself: later plans don't compute them again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def expand(edges: DataFrame, start: DataFrame, cfg: SearchConfig = SearchConfig(), names: DataFrame | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(final keys, evolution): walks key to event to key for up to cfg.hops hops.
 
@@ -101,9 +106,9 @@ def expand(edges: DataFrame, start: DataFrame, cfg: SearchConfig = SearchConfig(
     found = current.select("entity_id", F.lit(0).alias("hop"), F.lit(None).cast(current.schema["entity_id"].dataType).alias("parent"))
     evolution, last = None, None
     for hop in range(1, cfg.hops + 1):
-        events = rk.cut_lineage(hop_events(edges, current, cfg, names, texts))
-        related = edges.join(F.broadcast(events.select("event_id")), "event_id", "left_semi")
-        weights = rk.cut_lineage(rk.key_weight_expand(related, events, events).select("entity_id", "weight"))
+        events = _here(hop_events(edges, current, cfg, names, texts))  # events_per_hop rows at most
+        related = rk.cut_lineage(edges.join(F.broadcast(events.withColumnRenamed("weight", "ew")), "event_id").select("event_id", "entity_id", "ew"))
+        weights = rk.cut_lineage(related.groupBy("entity_id").agg((F.avg("ew") * F.least(F.lit(2.0), F.log1p(F.count(F.lit(1))))).alias("weight")))
         now = weights.withColumn("hop", F.lit(hop))
         evolution = now if evolution is None else evolution.unionByName(now)
         total = weights.agg(F.sum("weight")).first()[0] or 0.0
@@ -112,10 +117,9 @@ def expand(edges: DataFrame, start: DataFrame, cfg: SearchConfig = SearchConfig(
         if change < cfg.convergence:
             break
         fresh = weights.join(found, "entity_id", "left_anti").orderBy(F.desc("weight"), "entity_id").limit(cfg.keys_per_hop)
-        via = edges.join(F.broadcast(fresh.select("entity_id")), "entity_id").join(events.withColumnRenamed("weight", "ew"), "event_id")
-        before = edges.join(F.broadcast(current.select(F.col("entity_id").alias("parent"), F.col("weight").alias("pw"))), edges.entity_id == F.col("parent")).select("event_id", "parent", "pw")
-        parents = via.join(before, "event_id").groupBy("entity_id").agg(F.min_by("parent", F.struct(-F.col("ew"), -F.col("pw"), "parent")).alias("parent"))
-        fresh = rk.cut_lineage(fresh.join(parents, "entity_id", "left"))
+        before = related.join(F.broadcast(current.select(F.col("entity_id").alias("parent"), F.col("weight").alias("pw"))), F.col("entity_id") == F.col("parent")).select("event_id", "parent", "pw")
+        parents = related.join(F.broadcast(fresh.select("entity_id")), "entity_id").join(before, "event_id").groupBy("entity_id").agg(F.min_by("parent", F.struct(-F.col("ew"), -F.col("pw"), "parent")).alias("parent"))
+        fresh = _here(fresh.join(parents, "entity_id", "left"))  # keys_per_hop rows at most
         if fresh.isEmpty():
             break
         found = found.unionByName(fresh.select("entity_id", F.lit(hop).alias("hop"), "parent"))
