@@ -8,8 +8,10 @@ from eventloom.functions import text as tx
 from eventloom.operators import lexicon as lx
 from eventloom.operators import summaries as sm
 from eventloom.operators.lineage import materialize, shared_folder
+from eventloom.operators.text_index import TextIndex
 from eventloom.operators.vector_index import VectorIndex
 from eventloom.plans.catalog import query, table
+from eventloom.plans.q_ranking import _TERMS, _bm25_field
 
 
 @query()
@@ -52,3 +54,12 @@ def tfidf_keywords(spark, d):
     model = materialize(lx.document_frequencies(docs))
     found = lx.keywords(docs, model, top=10).select("doc_id", F.posexplode("keywords").alias("k", "w"))
     return found.select("doc_id", (F.col("k") + 1).alias("nth"), "w.term", F.round("w.weight", 8).alias("weight"))
+
+
+@query(f"""WITH {_bm25_field('h', "split_part(text, chr(10), 1)")}, {_bm25_field('b', 'text')}
+SELECT doc_id, round(greatest(3 * h.s, b.s), 6) AS score FROM h JOIN b USING (doc_id) WHERE greatest(h.s, b.s) > 0 ORDER BY greatest(3 * h.s, b.s) DESC, doc_id LIMIT 20""")
+def indexed_bm25(spark, d):
+    """The best documents by boosted fields, from an inverted index made of all documents."""
+    docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("heading"), F.col("text").alias("content"))
+    index = TextIndex.build(docs, "doc_id", ["heading", "content"], shared_folder(spark))
+    return index.search(_TERMS, 20, {"heading": 3.0, "content": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
