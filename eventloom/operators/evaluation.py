@@ -53,6 +53,7 @@ def recalled_histogram(counts: DataFrame, matched: str = "matched") -> DataFrame
 
 def sufficiency(n) -> F.Column:
     """(enough, confidence) for a number of found events."""
+    # Confidences of no, one, few and five or more events.
     return F.struct((n > 0).alias("enough"), F.when(n == 0, 0.0).when(n == 1, 0.4).when(n < 5, 0.65).otherwise(0.85).alias("confidence"))
 
 

@@ -29,9 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/eventloom-{uuid.uuid4().hex}"
 
 
+#: Folders that materialize() has made and nothing has removed, by application.
+_written: dict[str, set[str]] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut, lost executors cost no recomputation."""
     path = shared_folder(df.sparkSession)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.eventloom_folder = path
@@ -42,6 +53,13 @@ def discard(*tables: DataFrame | None) -> None:
     """Remove the folders of tables that materialize() gave and that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "eventloom_folder", None):
-            spark = df.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _remove(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Remove the folders of all tables that this application has written and not discarded; their number. To be called
+    when the results that were made of them have been written or are not needed any more."""
+    left = list(_written.get(spark.sparkContext.applicationId, ()))
+    for path in left:
+        _remove(spark, path)
+    return len(left)

@@ -211,3 +211,13 @@ def test_long_sentences(spark, small):
     odd = ["", "  ", " , a\t\tb，c", "这" * 40 + "，好、" + "x " * 30, "!" * 70, "a,b" * 20, "long " + "，" * 3 + "字" * 16 + " end"]
     rows = spark.createDataFrame([(x,) for x in [*odd, None]], "t string").select("t", chunking.split_sentence(F.col("t"), 12).alias("p")).collect()
     assert {r.t: r.p for r in rows} == {x: parts_of(x, 12) for x in odd} | {None: []}
+
+
+def test_folders_are_discarded(spark):
+    from eventloom.operators import lineage
+
+    one, two = lineage.materialize(spark.range(3)), lineage.materialize(spark.range(4))
+    lineage.discard(one)
+    assert two.count() == 4 and lineage.discard_all(spark) >= 1 and lineage.discard_all(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.schema(two.schema).parquet(two.eventloom_folder).count()
