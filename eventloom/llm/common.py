@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(id, component) of every node of the undirected edges (a, b); component is the smallest id that a node reaches.
 
     Alternates large-star and small-star rewiring, each round an aggregation and a join that is written to the
-    shared folder; ends when no edge changes. Null ends and self loops are ignored; no edges give no rows.
+    shared folder; ends when no edge changes, which takes rounds by the logarithm of the longest path, and is an error
+    after max_rounds. Null ends and self loops are ignored; no edges give no rows.
     """
     def star(e: DataFrame, both: bool) -> DataFrame:
         """Ties each node's larger (both) or smaller neighbours to the smallest of its neighbourhood."""

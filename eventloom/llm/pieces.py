@@ -41,6 +41,9 @@ class ChunkTable:
         self.sp = SentencePieceProcessor(model_file=model)
         if any(re.search(f"[^{MARK}]{MARK}", self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size())):
             raise ValueError("a piece of this model crosses into a whitespace marker")
+        probe = " a  b\u3000\ufb01 \t c "
+        if self.sp.normalize(probe) != MARK + probe.replace(" ", MARK):
+            raise ValueError("this model's normaliser changes white space, word edges or characters")
         self.ids: dict[str, bytes] = {}
         self.chars = 0
 
