@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.operators.lineage import materialize
 from eventloom.plans import search
 from eventloom.plans.catalog import query, table
+from eventloom.plans.q_more import _uuid5_sql
 
 _CLUES = """c AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 1.0 / (1 + o_orderkey % 4) AS confidence FROM orders
 UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 1.0 / (1 + l_partkey % 5) FROM lineitem)"""
@@ -73,3 +74,28 @@ def reranked_sections(spark, d):
     mentions = table(spark, d, "lineitem").groupBy(F.concat(F.lit("e"), F.col("l_orderkey").cast("string")).alias("event_id"), F.col("l_partkey").alias("entity_id")).agg(F.count(F.lit(1)).alias("count"))
     events = table(spark, d, "orders").select(F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("event_id"), F.col("o_orderkey").alias("chunk_id"))
     return search.rerank_sections(chunks, keys, mentions, events).select("item_id", F.round("weight", 8).alias("weight"))
+
+
+@query(f"""WITH s AS (SELECT l_orderkey AS event_id, ['recall', 'expand', 'rerank'][1 + l_linenumber % 3] AS stage, CASE WHEN l_linenumber <> 4 THEN l_quantity::INT % 3 END AS hop, CASE WHEN l_returnflag <> 'N' THEN lower(l_returnflag) || '_recall' END AS m FROM lineitem),
+k AS (SELECT DISTINCT event_id, stage, CASE WHEN stage = 'expand' THEN 'hop' || hop WHEN stage = 'rerank' THEN m END AS kind FROM s),
+i AS (SELECT *, stage || '_' || kind || '_' || event_id AS own FROM k)
+SELECT CASE WHEN kind IS NULL THEN stage || '_' || event_id ELSE own || '_' || left({_uuid5_sql("own")}, 8) END AS id, event_id, o_orderpriority AS content, o_orderstatus AS category, stage FROM i JOIN orders ON o_orderkey = event_id""")
+def event_provenance(spark, d):
+    """The nodes of each order as the stages of a search have seen it."""
+    li, n = table(spark, d, "lineitem"), F.col("l_linenumber")
+    seen = li.select(
+        (F.col("l_orderkey") * 10 + n).alias("seq"),
+        F.col("l_orderkey").alias("event_id"),
+        F.get(F.array(F.lit("recall"), F.lit("expand"), F.lit("rerank")), (n % 3).cast("int")).alias("stage"),
+        F.when(n != 4, F.round("l_quantity").cast("int") % 3).alias("hop"),
+        F.when(F.col("l_returnflag") != "N", F.concat(F.lower("l_returnflag"), F.lit("_recall"))).alias("recall_method"),
+    )
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("category"), F.col("o_orderpriority").alias("title"), F.lit(None).cast("string").alias("content"))
+    return search.event_nodes(seen.join(orders, "event_id")).select("id", "event_id", "content", "category", "stage")
+
+
+@query(f"""SELECT DISTINCT CASE WHEN doc_id % 3 > 0 THEN doc_id::VARCHAR ELSE 'fallback-section-' || {_uuid5_sql("lang || ':' || source || ':' || coalesce(text, '')")} END AS id, lang AS category, left(source, 50) AS content FROM documents""")
+def section_provenance(spark, d):
+    """The nodes of documents as sections, a third of them without an id."""
+    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")).alias("section_id"), F.col("lang").alias("section_type"), F.col("source").alias("heading"), F.col("text").alias("content"), F.lit(None).cast("string").alias("summary"))
+    return search.section_nodes(rows).select("id", "category", "content")

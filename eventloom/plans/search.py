@@ -187,6 +187,34 @@ def extracted_nodes(attributes: DataFrame) -> DataFrame:
     return attributes.select(F.concat(F.lit("extracted-"), tx.uuid5(F.concat(kind, F.lit(":"), name))).alias("id"), F.lit("entity").alias("type"), kind.alias("category"), name.alias("content"), told.alias("description"))
 
 
+def event_nodes(sightings: DataFrame) -> DataFrame:
+    """Nodes (id, event_id, type, category, content, description, stage, hop) of events as stages have seen them
+    (seq, event_id, stage, hop, recall_method, category, title, content).
+
+    An event has one node in a stage; in the expansion one for each hop that is known, and in the rerank one for each way
+    of recall. The first sighting by seq stays. What tells such nodes apart is made of the event and its hop or way, so
+    that the same sightings always give the same nodes.
+    """
+    event, stage = F.col("event_id").cast("string"), F.col("stage")
+    kind = F.when((stage == "expand") & F.col("hop").isNotNull(), F.concat(F.lit("hop"), F.col("hop").cast("string")))
+    kind = kind.when((stage == "rerank") & (F.coalesce("recall_method", F.lit("")) != ""), F.col("recall_method"))
+    own = F.concat(stage, F.lit("_"), kind, F.lit("_"), event)
+    rows = sightings.withColumn("id", F.when(kind.isNull(), F.concat(stage, F.lit("_"), event)).otherwise(F.concat(own, F.lit("_"), F.substring(tx.uuid5(own), 1, 8))))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    node = F.struct("event_id", F.lit("event").alias("type"), text("category").alias("category"), text("title").alias("content"), text("content").alias("description"), "stage", "hop")
+    return rows.groupBy("id").agg(F.min_by(node, "seq").alias("n")).select("id", "n.*")
+
+
+def section_nodes(sections: DataFrame) -> DataFrame:
+    """Nodes (id, type, category, content, description) of sections (section_id, section_type, heading, content,
+    summary): the first 50 characters of the heading, or of the content where there is none. A section without an id gets
+    one made of its texts; equal nodes are one."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    made = F.concat(F.lit("fallback-section-"), tx.uuid5(F.concat(text("section_type"), F.lit(":"), text("heading"), F.lit(":"), text("content"))))
+    id_ = F.coalesce(F.when(F.col("section_id").cast("string") != "", F.col("section_id").cast("string")), made)
+    return sections.select(id_.alias("id"), F.lit("section").alias("type"), text("section_type").alias("category"), F.substring(F.coalesce("heading", text("content")), 1, 50).alias("content"), text("summary").alias("description")).distinct()
+
+
 def clue_edges(clues: DataFrame) -> DataFrame:
     """Provenance edges (seq, stage, src, dst, display_level, confidence): the first of each (src, dst, stage, level);
     confidences outside 0 to 1000 are brought into 0 to 10."""
