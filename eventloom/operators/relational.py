@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,21 +143,42 @@ def in_order(rows: DataFrame, array: str, details: DataFrame, key: str, by: Sequ
     return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", key, *[c for c in details.columns if c != key]))).alias(into))
 
 
+#: Bits of the filter of names' beginnings.
+NAME_BITS = 1 << 22
+
+
 def contained_names(events: DataFrame, entities: DataFrame, batch: str, text: Sequence[str] = ("title", "content"), least_weight: float = 1.0) -> DataFrame:
     """(event_id, name): entities of the same batch whose name occurs in the event's text, types of low weight left out.
 
     Names meet texts on their first three characters, or all if they have fewer, so it is an equi join; then the whole
-    name is looked for. Empty names are left out; event ids are unique.
+    name is looked for. Of a text's strings only those go into the join that a filter of fixed size has as the beginning
+    of some name; what it lets pass by mistake finds no name. Empty names are left out; event ids are unique.
     """
     names = entities.where((F.col("weight") >= least_weight) & (F.length("name") > 0)).select(batch, F.lower("name").alias("low"), "name").dropDuplicates([batch, "low"])
-    names = names.withColumn("gram", F.substring("low", 1, 3))
-    texts = events.select(batch, "event_id", F.lower(F.concat_ws(" ", *text)).alias("t"))
-    signs = texts.select(batch, "event_id", F.regexp_extract_all("t", F.lit("(?s)."), F.lit(0)).alias("c"))
-
-    def runs_of(n: int) -> Column:
-        return F.transform("c", lambda x, i: F.concat(x, *[F.coalesce(F.get("c", i + k), F.lit("")) for k in range(1, n)]))
-
-    met = signs.select(batch, "event_id", F.explode(F.array_distinct(F.concat(*map(runs_of, (1, 2, 3))))).alias("gram")).join(names, [batch, "gram"]).select("event_id", "low", "name")
+    names = materialize(names.withColumn("gram", F.substring("low", 1, 3)))
+    at = F.crc32("gram") % NAME_BITS + 1  # bitmaps hold 32768 bits each and count from 1
+    marked = names.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    held = bytearray(NAME_BITS // 8)
+    for r in marked.toLocalIterator():
+        held[(r.k - 1) * 4096 : r.k * 4096] = r.bits
+    sent = events.sparkSession.sparkContext.broadcast(bytes(held))
+    texts = events.select(F.col(batch).alias("batch"), "event_id", F.lower(F.concat_ws(" ", *text)).alias("t"))
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for part in batches:
+            rows, grams = [], []
+            for row, t in enumerate(part.column(2).to_pylist()):
+                for gram in {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}:
+                    k = zlib.crc32(gram.encode()) % NAME_BITS
+                    if bits[k >> 3] >> (k & 7) & 1:
+                        rows.append(row)
+                        grams.append(gram)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(grams, pa.string())], [batch, "event_id", "gram"])
+
+    kinds = [texts.schema[c].dataType.simpleString() for c in ("batch", "event_id")]
+    met = texts.mapInArrow(begun, f"`{batch}` {kinds[0]}, event_id {kinds[1]}, gram string").join(names, [batch, "gram"]).select("event_id", "low", "name")
     return met.join(texts.select("event_id", "t"), "event_id").where(F.col("t").contains(F.col("low"))).select("event_id", "name")
 
 

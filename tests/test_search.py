@@ -121,3 +121,16 @@ def test_flagship(spark, small):
     assert [r.item_id for r in got] == [w[0] for w in want]
     assert [(r.relation, r.density, r.weight) for r in got] == [pytest.approx(w[1:], abs=1e-7) for w in want]
     assert any(w[1] > 0 for w in want)
+
+
+def test_contained_names(spark):
+    from eventloom.operators import relational
+
+    rng = random.Random(9)
+    names = [("".join(rng.choices("abÜ中 ", k=rng.randint(0, 5))), rng.choice([0.5, 1.0, 2.0]), rng.randint(0, 1)) for _ in range(60)]
+    texts = [(k, rng.randint(0, 1), rng.choice([None, "AB", ""]), "".join(rng.choices("abü中 x", k=rng.randint(0, 25)))) for k in range(80)]
+    events = spark.createDataFrame(texts, "event_id int, batch int, title string, content string")
+    entities = spark.createDataFrame(names, "name string, weight double, batch int")
+    got = {(r.event_id, r.name.lower()) for r in relational.contained_names(events, entities, "batch").collect()}
+    said = {k: " ".join(x for x in (title, content) if x is not None).lower() for k, _, title, content in texts}
+    assert got == {(k, n.lower()) for k, b, *_ in texts for n, w, c in names if n and w >= 1 and b == c and n.lower() in said[k]}
