@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
 from eventloom.operators import lexicon as lx
+from eventloom.operators import ranking as rk
 from eventloom.operators import summaries as sm
 from eventloom.operators.lineage import materialize, shared_folder
 from eventloom.operators.text_index import TextIndex
 from eventloom.operators.vector_index import VectorIndex
+from eventloom.plans import search
 from eventloom.plans.catalog import query, table
 from eventloom.plans.q_ranking import _TERMS, _bm25_field
 
@@ -63,3 +65,19 @@ def indexed_bm25(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("heading"), F.col("text").alias("content"))
     index = TextIndex.build(docs, "doc_id", ["heading", "content"], shared_folder(spark))
     return index.search(_TERMS, 20, {"heading": 3.0, "content": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS c FROM v q, v WHERE q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT query_id, vec_id + 1 AS event_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS nth, c FROM s),
+m AS (SELECT l_orderkey AS event_id, p_name AS name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_name, l_returnflag) AS nth FROM lineitem JOIN part ON p_partkey = l_partkey),
+e AS (SELECT event_id, string_agg(name, ',' ORDER BY nth) AS entities FROM m WHERE nth <= 3 GROUP BY 1)
+SELECT query_id, event_id, o_orderpriority AS title, o_orderstatus AS category, coalesce(entities, '') AS entities FROM r JOIN orders ON o_orderkey = event_id LEFT JOIN e USING (event_id) WHERE r.nth <= 5 AND c >= 0.1""")
+def related_event_details(spark, d):
+    """Events like a given one, with their first three entities."""
+    rows = table(spark, d, "embeddings")
+    hits = rk.knn_join(rows, rows.where("vec_id % 50 = 0"), "embedding", "vec_id", 5, threshold=0.1)
+    events = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("category"))
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    mentions = li.select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("seq"), F.col("l_returnflag").alias("type"), F.col("p_name").alias("name"))
+    out = search.related_details(hits.select("query_id", (F.col("vec_id") + 1).alias("event_id"), "score"), events, mentions, most=3)
+    return out.select("query_id", "event_id", "title", "category", F.array_join(F.transform("entities", lambda x: x["name"]), ",").alias("entities"))

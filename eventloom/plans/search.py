@@ -187,6 +187,22 @@ def extracted_nodes(attributes: DataFrame) -> DataFrame:
     return attributes.select(F.concat(F.lit("extracted-"), tx.uuid5(F.concat(kind, F.lit(":"), name))).alias("id"), F.lit("entity").alias("type"), kind.alias("category"), name.alias("content"), told.alias("description"))
 
 
+def related_details(hits: DataFrame, events: DataFrame, mentions: DataFrame, most: int = 10) -> DataFrame:
+    """hits (query_id, event_id, score) with title, category (empty for null) and entities, the first `most` of the
+    event's (type, name) by seq, then name; hits whose event isn't held are left out.
+
+    events: (event_id, title, category); mentions: (event_id, seq, type, name). Only mentions of events that were hit are
+    gathered, once for each event, however many queries have hit it.
+    """
+    hit = rk.cut_lineage(hits.select("event_id").distinct())
+    own = mentions.join(hit, "event_id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("event_id").orderBy("seq", "name", "type"))
+    first = own.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "type", "name"))), lambda x: F.struct(x["type"].alias("type"), x["name"].alias("name"))).alias("entities"))
+    held = events.join(hit, "event_id", "left_semi").join(first, "event_id", "left")
+    none = F.array().cast("array<struct<type:string,name:string>>")
+    return hits.join(held, "event_id").select("query_id", "event_id", "score", "title", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("entities", none).alias("entities"))
+
+
 def event_nodes(sightings: DataFrame) -> DataFrame:
     """Nodes (id, event_id, type, category, content, description, stage, hop) of events as stages have seen them
     (seq, event_id, stage, hop, recall_method, category, title, content).
