@@ -120,10 +120,10 @@ def title_text_cascade(spark, d):
 
 
 @query(f"""WITH {EDGES} SELECT entity_id, count(*) AS events FROM e GROUP BY 1
-HAVING count(*) FILTER (event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')) = 0""")
+HAVING count(*) FILTER (event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')) = 0""")
 def lost_keys(spark, d):
     keys = table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"))
-    kept = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("event_id"))
+    kept = table(spark, d, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("event_id"))
     return search.lost_keys(keys, edges(spark, d), kept)
 
 

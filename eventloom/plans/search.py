@@ -136,7 +136,8 @@ def rerank(items: DataFrame, keys: DataFrame, edges: DataFrame, cfg: SearchConfi
     """
     clues = edges.join(F.broadcast(keys), "entity_id").select("item_id", "entity_id", "weight", "hop", (F.col("hop") + 1).alias("step"), "count", F.lit(False).alias("is_target"))
     scored = items.where(F.col("similarity") >= cfg.rerank_threshold).join(rk.relation_and_density(clues), "item_id", "left").na.fill(0.0, ["relation", "density"])
-    scored = rk.cut_lineage(scored)
+    # sums that differ only by the order of their terms rank alike
+    scored = rk.cut_lineage(scored.withColumns({c: F.round(c, 9) for c in ("relation", "density")}))
     fused = rk.rrf(scored, "item_id", cfg.rerank_weights, cfg.rrf_k).withColumnRenamed("rrf", "weight")
     if cfg.use_pagerank:
         kept = rk.cut_lineage(fused)
