@@ -6,6 +6,7 @@ similarity to the query if known). Every stage is a DataFrame; the driver decide
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
@@ -180,12 +181,13 @@ def entity_nodes(entities: DataFrame) -> DataFrame:
     return entities.select(F.coalesce(F.col("entity_id").cast("string"), made).alias("id"), F.lit("entity").alias("type"), blank("type", "unknown").alias("category"), name.alias("content"), blank("description", "").alias("description"), F.coalesce("hop", F.lit(0)).alias("hop"))
 
 
-def extracted_nodes(attributes: DataFrame) -> DataFrame:
-    """Nodes of the attributes (name, type, description) that a query was found to have."""
+def extracted_nodes(attributes: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Nodes of the attributes (name, type, description) that a query was found to have, a row for each; further columns
+    are carried."""
     kind, name = F.coalesce("type", F.lit("unknown")), F.coalesce("name", F.lit(""))
     # Fixed value: what is said of one without a description.
     told = F.coalesce(F.when(F.col("description") != "", F.col("description")), F.lit("从查询提取的属性"))
-    return attributes.select(F.concat(F.lit("extracted-"), tx.uuid5(F.concat(kind, F.lit(":"), name))).alias("id"), F.lit("entity").alias("type"), kind.alias("category"), name.alias("content"), told.alias("description"))
+    return attributes.select(F.concat(F.lit("extracted-"), tx.uuid5(F.concat(kind, F.lit(":"), name))).alias("id"), F.lit("entity").alias("type"), kind.alias("category"), name.alias("content"), told.alias("description"), *carry)
 
 
 def related_details(hits: DataFrame, events: DataFrame, mentions: DataFrame, most: int = 10) -> DataFrame:
