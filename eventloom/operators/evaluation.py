@@ -60,12 +60,16 @@ def sufficiency(n) -> F.Column:
 def text_match(oracle: DataFrame, retrieved: DataFrame) -> DataFrame:
     """(question_id, oracle_id, how): equal titles, else the oracle's title within the other's, else equal text beginnings.
 
-    Both sides belong to the same question, so all three tests are one join on it; the best test counts.
+    Both sides belong to the same question. Only the distinct titles of a question meet each other; equal text beginnings
+    are an equi join with distinct ones, so repeated titles and texts multiply nothing. The best test counts.
     """
     o = oracle.select("question_id", "oracle_id", F.lower(F.trim("title")).alias("ot"), F.substring("text", 1, 150).alias("ox"))
     r = retrieved.select("question_id", F.lower(F.trim("title")).alias("rt"), F.substring("text", 1, 150).alias("rx"))
-    how = F.when(F.col("ot") == F.col("rt"), 1).when(F.col("rt").contains(F.col("ot")), 2).when(F.col("ox") == F.col("rx"), 3)
-    return o.join(r, "question_id").withColumn("how", how).where("how is not null").groupBy("question_id", "oracle_id").agg(F.min("how").alias("how"))
+    asked, titles = o.select("question_id", "ot").distinct(), r.select("question_id", "rt").distinct()
+    by_title = asked.join(titles, "question_id").where(F.col("rt").contains(F.col("ot"))).groupBy("question_id", "ot").agg(F.min(F.when(F.col("ot") == F.col("rt"), 1).otherwise(2)).alias("by_title"))
+    by_text = r.select("question_id", F.col("rx").alias("ox")).distinct().withColumn("by_text", F.lit(3))
+    found = o.join(by_title, ["question_id", "ot"], "left").join(by_text, ["question_id", "ox"], "left")
+    return found.withColumn("how", F.coalesce("by_title", "by_text")).where("how is not null").groupBy("question_id", "oracle_id").agg(F.min("how").alias("how"))
 
 
 def dedup_chunks(chunks: DataFrame, key: str, text: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Work that grows with the input: rows that joins make, tables larger than what is sent to tasks, bounded batches."""
 
+from eventloom.operators import evaluation as ev
 from eventloom.plans import catalog
 
 catalog.load()
@@ -37,3 +38,14 @@ def test_extracted_provenance_copies(spark, small, tmp_path):
     got = catalog.QUERIES["extracted_provenance"](spark, folder)
     assert join_rows(got) <= n
     assert got.count() == n == got.select("p_partkey").distinct().count()
+
+
+def test_title_text_cascade_copies(spark, small, tmp_path):
+    folder, n = copies(spark, small, tmp_path, "part", "p_partkey", 20)
+    assert join_rows(catalog.QUERIES["title_text_cascade"](spark, folder)) <= 2 * n
+
+
+def test_text_match_nulls(spark):
+    o = spark.createDataFrame([(1, 1, " A ", "x"), (1, 2, None, "y"), (1, 3, "b", None), (2, 4, "a", "q"), (1, 5, "", "none")], "question_id int, oracle_id int, title string, text string")
+    r = spark.createDataFrame([(1, "a", "z"), (1, "cab", "y"), (1, None, None), (2, None, "q")], "question_id int, title string, text string")
+    assert sorted(map(tuple, ev.text_match(o, r).collect())) == [(1, 1, 1), (1, 2, 3), (1, 3, 2), (1, 5, 2), (2, 4, 3)]
