@@ -1,6 +1,9 @@
 """Work that grows with the input: rows that joins make, tables larger than what is sent to tasks, bounded batches."""
 
+import numpy as np
+import pyarrow as pa
 from eventloom.operators import evaluation as ev
+from eventloom.operators import vector_index as vi
 from eventloom.plans import catalog
 
 catalog.load()
@@ -49,3 +52,24 @@ def test_text_match_nulls(spark):
     o = spark.createDataFrame([(1, 1, " A ", "x"), (1, 2, None, "y"), (1, 3, "b", None), (2, 4, "a", "q"), (1, 5, "", "none")], "question_id int, oracle_id int, title string, text string")
     r = spark.createDataFrame([(1, "a", "z"), (1, "cab", "y"), (1, None, None), (2, None, "q")], "question_id int, title string, text string")
     assert sorted(map(tuple, ev.text_match(o, r).collect())) == [(1, 1, 1), (1, 2, 3), (1, 3, 2), (1, 5, 2), (2, 4, 3)]
+
+
+def test_wanted_rings_in_pieces(monkeypatch):
+    monkeypatch.setattr(vi, "AT_ONCE_OUT", 600, raising=False)
+    rng = np.random.default_rng(3)
+    index = vi.VectorIndex(None, "", "id", vi.unit(rng.normal(0, 1, (40, 6))))
+    held = {(c, r): (9, r / 20, (r + 1) / 20) for c in range(40) for r in range(20)}
+    queries = pa.RecordBatch.from_pydict({"query_id": list(range(300)), "v": rng.normal(0, 1, (300, 6)).tolist(), "least": pa.nulls(300, pa.float64())})
+
+    class Asked:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([queries])))
+
+    for first in (True, False):
+        got = index._wanted(Asked(), held, "long", None, first)
+        assert max(b.num_rows for b in got) <= 100
+        rings = {(q, c, r) for b in got for q, c, r in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)))}
+        assert len(rings) == sum(b.num_rows for b in got) == 300 * 20 * (vi.FIRST if first else 40 - vi.FIRST)
