@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,14 +26,20 @@ def normalize_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def normalize_for_embedding(text: Column) -> Column:
-    """NFKC, lower case, white space collapsed; empty for null. NFKC has no built-in form and runs over Arrow batches."""
+#: Texts that are Python strings at once, of a batch.
+_AT_ONCE = 64
+
 
-    @F.pandas_udf("string")
-    def nfkc(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKC")
+def nfkc(texts: pa.Array) -> pa.Array:
+    """Texts in NFKC. A few of a batch are Python strings at a time, so memory is that of the batch and its result."""
+    parts = [pa.array([x if x is None else unicodedata.normalize("NFKC", x) for x in texts.slice(at, _AT_ONCE).to_pylist()], pa.string()) for at in range(0, len(texts), _AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-    return normalize_text(F.lower(nfkc(F.coalesce(text, F.lit("")))))
+
+def normalize_for_embedding(text: Column) -> Column:
+    """NFKC, lower case, white space collapsed; empty for null. NFKC has no built-in form and runs over Arrow batches."""
+    run = F.arrow_udf(lambda s: nfkc(s), "string")
+    return normalize_text(F.lower(run(F.coalesce(text, F.lit("")))))
 
 
 def normalize_entity_name(name: Column) -> Column:

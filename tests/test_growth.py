@@ -1,7 +1,11 @@
 """Work that grows with the input: rows that joins make, tables larger than what is sent to tasks, bounded batches."""
 
+import tracemalloc
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
+from eventloom.functions import text as tx
 from eventloom.operators import evaluation as ev
 from eventloom.operators import vector_index as vi
 from eventloom.plans import catalog
@@ -73,3 +77,15 @@ def test_wanted_rings_in_pieces(monkeypatch):
         assert max(b.num_rows for b in got) <= 100
         rings = {(q, c, r) for b in got for q, c, r in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)))}
         assert len(rings) == sum(b.num_rows for b in got) == 300 * 20 * (vi.FIRST if first else 40 - vi.FIRST)
+
+
+def test_nfkc_in_pieces():
+    texts = ["\ufb01\u2460 \u00c5 " * 4000] * 300 + [None, ""]
+    batch, want = pa.array(texts), [x and unicodedata.normalize("NFKC", x) for x in texts]
+    tracemalloc.start()
+    got = tx.nfkc(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == want
+    assert peak < 300 * 4000 * 6 * 2
+    assert tx.nfkc(pa.array([], pa.string())).to_pylist() == []
