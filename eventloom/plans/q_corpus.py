@@ -53,9 +53,8 @@ SELECT doc_id, nth::INT AS nth, term, round(weight, 8) AS weight FROM r WHERE nt
 def tfidf_keywords(spark, d):
     """Ten keywords of each document by a stored model of the corpus."""
     docs = table(spark, d, "documents").select("doc_id", lx.latin_words(F.coalesce("text", F.lit(""))).alias("tokens"))
-    model = materialize(lx.document_frequencies(docs))
-    found = lx.keywords(docs, model, top=10).select("doc_id", F.posexplode("keywords").alias("k", "w"))
-    return found.select("doc_id", (F.col("k") + 1).alias("nth"), "w.term", F.round("w.weight", 8).alias("weight"))
+    model = materialize(lx.document_frequencies(docs, most=None))
+    return lx.keywords_of_all(docs, "doc_id", model, top=10).select("doc_id", "nth", "term", F.round("weight", 8).alias("weight"))
 
 
 @query(f"""WITH {_bm25_field('h', "split_part(text, chr(10), 1)")}, {_bm25_field('b', 'text')}

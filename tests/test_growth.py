@@ -7,8 +7,10 @@ import numpy as np
 import pyarrow as pa
 from eventloom.functions import text as tx
 from eventloom.operators import evaluation as ev
+from eventloom.operators import lexicon as lx
 from eventloom.operators import vector_index as vi
 from eventloom.plans import catalog
+from pyspark.sql import functions as F
 
 catalog.load()
 
@@ -89,3 +91,13 @@ def test_nfkc_in_pieces():
     assert got.to_pylist() == want
     assert peak < 300 * 4000 * 6 * 2
     assert tx.nfkc(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_keywords_beyond_the_terms_sent(spark, small, monkeypatch):
+    """Terms that aren't sent to the tasks keep their own frequencies."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", lx.latin_words(F.col("text")).alias("tokens"))
+    whole = lx.document_frequencies(docs)
+    want = sorted((r.doc_id, k, x.term, x.weight) for r in lx.keywords(docs, whole, top=10).collect() for k, x in enumerate(r.keywords, 1))
+    for most in (40, 1):
+        got = lx.keywords_of_all(docs, "doc_id", lx.document_frequencies(docs, most=None), top=10, most=most)
+        assert sorted(map(tuple, got.collect())) == want
