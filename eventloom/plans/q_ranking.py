@@ -182,7 +182,7 @@ def pagerank_5_iters(spark, d):
 @query(f"WITH {_G}, u AS (SELECT s AS i, count(DISTINCT t) AS d FROM g GROUP BY 1), a AS (SELECT n.i, coalesce(d, 0) AS d FROM n LEFT JOIN u USING (i)) SELECT round(avg(d), 6) AS mean, max(d) AS most, count(*) FILTER (d = 0) AS isolated FROM a")
 def degree_statistics(spark, d):
     clues = _clues(spark, d)
-    return rk.degrees(rk.shared_entity_graph(clues), clues.select("item_id").distinct()).withColumn("mean", F.round("mean", 6))
+    return rk.degree_facts(rk.shared_degrees(clues), clues.select("item_id").distinct()).withColumn("mean", F.round("mean", 6))
 
 
 @query(f"""WITH {EDGES}, s AS (SELECT p_partkey AS k, 1.0 AS w FROM part WHERE p_partkey IN (5, 9)),

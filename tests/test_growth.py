@@ -1,13 +1,16 @@
 """Work that grows with the input: rows that joins make, tables larger than what is sent to tasks, bounded batches."""
 
+import random
 import tracemalloc
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from eventloom.functions import text as tx
 from eventloom.operators import evaluation as ev
 from eventloom.operators import lexicon as lx
+from eventloom.operators import ranking as rk
 from eventloom.operators import vector_index as vi
 from eventloom.plans import catalog
 from pyspark.sql import functions as F
@@ -101,3 +104,45 @@ def test_keywords_beyond_the_terms_sent(spark, small, monkeypatch):
     for most in (40, 1):
         got = lx.keywords_of_all(docs, "doc_id", lx.document_frequencies(docs, most=None), top=10, most=most)
         assert sorted(map(tuple, got.collect())) == want
+
+
+def shuffled_rows(df):
+    """The most rows that one shuffle of df's plan has written."""
+    df.collect()
+    most, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "Exchange":
+            most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            left.append(node.plan())
+        left.extend(node.children().apply(k) for k in range(node.children().size()))
+    return most
+
+
+def test_graph_shuffles_lists(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(30), rng.random()) for i in range(400) for _ in range(3)]
+    rows += [(7, 3, 0.5), (7, 3, 0.5), (None, 3, 1.0), (8, None, 1.0), (9, 3, None)]
+    clues = spark.createDataFrame(rows, "item_id long, entity_id long, weight double")
+    want = {}
+    fine = [r for r in rows if r[0] is not None and r[1] is not None]
+    for a, e, w in fine:
+        for b, f, v in fine:
+            if e == f and a < b:
+                want.setdefault((a, b), []).extend([(w + v) / 2] if w is not None and v is not None else [])
+    for block in (1024, 7):
+        monkeypatch.setattr(rk, "BLOCK_ITEMS", block, raising=False)
+        graph = rk.shared_entity_graph(clues)
+        got = {(r.a, r.b): r.weight for r in graph.collect()}
+        assert got == {k: pytest.approx(sum(v)) if v else None for k, v in want.items()}
+        if block == 1024:
+            assert shuffled_rows(graph) <= len(rows) < len(want) / 5
+    degree = {}
+    for a, b in want:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    ends = rk.shared_degrees(clues)
+    assert {r.item_id: r.d for r in ends.collect()} == {r[0]: degree.get(r[0], 0) for r in fine}
+    assert shuffled_rows(ends) < len(want) / 2
