@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from eventloom.llm.common import map_batches, quoted
 
@@ -122,6 +122,26 @@ def decode(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", model: str
     return map_batches(tokens, run, StructType([*tokens.schema.fields]).add("decoded", StringType()))
 
 
+def round_trips(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, carry..., ids, round_trip): encode() with the end id, and whether decode() gives the text again, null for a
+    null text. One pass through Python, which texts enter but don't leave."""
+    path = model or default_model()
+    own = [key, *(c for c in carry if c not in (key, "ids", "round_trip"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ChunkTable(path)
+        tail = [table.sp.eos_id()]
+        for batch in batches:
+            for part in _parts(batch):
+                texts = part.column(len(own)).to_pylist()
+                ids = table.lists([t or "" for t in texts], tail)
+                same = [None if t is None else table.sp.decode(x) == t for t, x in zip(texts, _lists(ids), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], ids, pa.array(same, pa.bool_())], [*own, "ids", "round_trip"])
+
+    schema = StructType([docs.schema[c] for c in own]).add("ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
+    return map_batches(docs.select(*map(quoted, own), F.col(quoted(text))), run, schema)
+
+
 def lengths(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
     """(n_tokens): the number of ids of each text, without an end id."""
     path = model or default_model()

@@ -238,6 +238,19 @@ def test_pieces(spark, small, monkeypatch):
     check_pieces(queries.op10_pieces(spark, small).collect(), own)
 
 
+def test_pieces_round_trips(spark, odd, rows):
+    """Ids and the comparison of one pass are those of encode() and decode()."""
+    from sentencepiece import SentencePieceProcessor
+
+    got = pieces.round_trips(odd.unionByName(odd.limit(1).withColumn("text", F.lit("a \u2581 b  c "))), carry=("a.b",))
+    assert got.columns == ["doc_id", "a.b", "ids", "round_trip"]
+    sp = SentencePieceProcessor(model_file=pieces.default_model())
+    want = [(t is not None and (sp.decode(sp.encode(t)) == t) or (None if t is None else False), (*sp.encode(t or ""), sp.eos_id())) for t in [*(r[1] for r in rows), "a \u2581 b  c "]]
+    assert sorted(((r.round_trip, tuple(r.ids)) for r in got.collect()), key=str) == sorted(want, key=str)
+    plan = pieces.round_trips(odd)._jdf.queryExecution().executedPlan().toString()  # not run yet: no stages in it
+    assert plan.count("MapInArrow") == 1
+
+
 def test_pieces_odd(spark, odd, none, rows):
     own = [r[:2] for r in rows] + [(100 + k, t) for k, t in enumerate(["  two", "two  ", "   ", "▁x ▁▁ y", "a\n b\n\n c", "<s> </s> <unk>", "​ é́", "日本語 テスト", "a" * 5000, " " * 5000])]
     df = spark.createDataFrame(own, "doc_id long, text string").withColumn("ids", F.lit("mine"))
