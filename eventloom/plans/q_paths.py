@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.operators.lineage import materialize
 from eventloom.plans import search
 from eventloom.plans.catalog import query, table
 from eventloom.plans.q_more import _uuid5_sql
@@ -17,8 +16,8 @@ _PATHS = """p AS (SELECT b.dst AS target, a.src AS n0, a.dst AS n1, round(a.conf
 def _clues(spark, d):
     name = lambda sign, c: F.concat(F.lit(sign), F.col(c).cast("string"))
     bought = table(spark, d, "orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"), (1.0 / (1 + F.col("o_orderkey") % 4)).alias("confidence"))
-    held = table(spark, d, "lineitem").select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst"), (1.0 / (1 + F.col("l_partkey") % 5)).alias("confidence")).distinct()
-    return materialize(bought.unionByName(held))
+    held = table(spark, d, "lineitem").select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst"), (1.0 / (1 + F.col("l_partkey") % 5)).alias("confidence"))
+    return bought.unionByName(held)
 
 
 def _paths(spark, d):

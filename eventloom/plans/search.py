@@ -242,17 +242,36 @@ def clue_edges(clues: DataFrame) -> DataFrame:
     return clues.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth").withColumn("confidence", c)
 
 
-def _distances(clues: DataFrame, origins: DataFrame, max_depth: int) -> DataFrame:
-    """(node, away) of the nodes that an origin reaches in so many steps or fewer: the least number of steps."""
+def _reached(clues: DataFrame, origins: DataFrame, max_depth: int) -> DataFrame:
+    """(src, dst, confidence, away, entered) of the clues that a path from an origin can use: away, the least number of
+    steps from an origin to src, 0 for origins, and whether such a clue leads to src.
+
+    A clue is looked at until its src is reached, and not again.
+    """
     far = rk.cut_lineage(origins.select(F.col("id").alias("node")).distinct().withColumn("away", F.lit(0)))
+    left, first, back, again = clues, None, None, None
     for depth in range(1, max_depth + 1):
-        last = far.where(F.col("away") == depth - 1)
-        new = clues.join(last.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(far, "node", "left_anti")
-        new = rk.cut_lineage(new.withColumn("away", F.lit(depth)))
+        last = far.where(F.col("away") == depth - 1).select(F.col("node").alias("src"), F.lit(True).alias("hit"))
+        marked = rk.cut_lineage(left.join(last, "src", "left"))
+        used, left = marked.where("hit").drop("hit"), marked.where("hit is null").drop("hit")
+        if depth == 1:
+            first = used
+        else:
+            more = used.withColumn("away", F.lit(depth - 1)).withColumn("entered", F.lit(True))
+            back = more if back is None else back.unionByName(more)
+        ends = rk.cut_lineage(used.select(F.col("dst").alias("node")).distinct().join(far, "node", "left"))
+        origin = ends.where("away = 0").select(F.col("node").alias("src"))
+        again = origin if again is None else again.unionByName(origin)
+        new = ends.where("away is null").select("node", F.lit(depth).alias("away"))
         if new.isEmpty():
             break
         far = far.unionByName(new)
-    return far
+    if again.isEmpty():
+        first = first.withColumn("entered", F.lit(False))
+    else:
+        first = first.join(again.distinct().withColumn("entered", F.lit(True)), "src", "left").na.fill(False, ["entered"])
+    first = first.withColumn("away", F.lit(0))
+    return first if back is None else first.unionByName(back)
 
 
 def paths_to(clues: DataFrame, targets: DataFrame, origins: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -260,22 +279,21 @@ def paths_to(clues: DataFrame, targets: DataFrame, origins: DataFrame, max_depth
     target along (src, dst, confidence).
 
     Nodes' distances from the origins are found first, forwards; the walk back from the targets then opens only such
-    paths as can still end within max_depth, and no path that no origin leads to. A node appears once in a path.
-    Confidence is the product along the path, rounded to 4; of parallel clues the best counts.
+    paths as can still end within max_depth, and no path that no origin leads to. A path whose first node no clue leads
+    to is not walked on. A node appears once in a path. Confidence is the product along the path, rounded to 4; of
+    parallel clues the best counts.
     """
-    best = rk.cut_lineage(clues.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")).where("src <> dst"))
-    far = rk.cut_lineage(_distances(best, origins, max_depth))
-    # a clue may be used by a path that has `away` steps or more before it
-    back = rk.cut_lineage(best.join(far.select(F.col("node").alias("src"), "away"), "src"))
-    ends = origins.select(F.col("id").alias("o")).distinct()
-    now = targets.select(F.col("id").alias("target")).distinct().join(far.select(F.col("node").alias("target")), "target", "left_semi")
+    best = clues.where("src <> dst").groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+    back = _reached(best, origins, max_depth) if max_depth > 0 else None
+    now = targets.select(F.col("id").alias("target")).distinct()
     now = now.select("target", F.col("target").alias("head"), F.array("target").alias("nodes"), F.lit(1.0).alias("product"))
     done = None
     for depth in range(1, max_depth + 1):
         step = now.join(back, F.col("head") == F.col("dst")).where((F.col("away") + depth <= max_depth) & ~F.array_contains("nodes", F.col("src")))
-        now = rk.cut_lineage(step.select("target", F.col("src").alias("head"), F.array_prepend("nodes", F.col("src")).alias("nodes"), (F.col("confidence") * F.col("product")).alias("product")))
-        ended = now.join(ends, F.col("head") == F.col("o"), "left_semi")
+        found = rk.cut_lineage(step.select("target", F.col("src").alias("head"), F.array_prepend("nodes", F.col("src")).alias("nodes"), (F.col("confidence") * F.col("product")).alias("product"), "away", "entered"))
+        ended = found.where("away = 0").drop("away", "entered")
         done = ended if done is None else done.unionByName(ended)
+        now = found.where("entered").drop("away", "entered")
         if now.isEmpty():
             break
     if done is None:
@@ -285,12 +303,17 @@ def paths_to(clues: DataFrame, targets: DataFrame, origins: DataFrame, max_depth
 
 def resolve_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """paths with steps, an array of structs of the nodes' columns (id and others) in the path's order; a node that
-    isn't known has its id only. Nodes are joined by id, step by step, not sent with the paths."""
+    isn't known has its id only. Nodes are joined by id, step by step, not sent with the paths; a path's columns travel
+    with its first step."""
     known = nodes.dropDuplicates(["id"]).withColumnRenamed("id", "_id")
-    numbered = rk.cut_lineage(paths.withColumn("_path", F.monotonically_increasing_id()))
-    steps = numbered.select("_path", F.posexplode("nodes").alias("_at", "id")).join(known, F.col("id") == F.col("_id"), "left")
-    each = steps.groupBy("_path").agg(F.array_sort(F.collect_list(F.struct("_at", F.struct("id", *[c for c in nodes.columns if c != "id"]).alias("n")))).alias("_steps"))
-    return numbered.join(each, "_path").withColumn("steps", F.transform("_steps", lambda x: x["n"])).drop("_path", "_steps")
+    row = F.struct(*[F.col(f"`{c}`") for c in paths.columns])
+    numbered = paths.select(row.alias("_row"), F.monotonically_increasing_id().alias("_path"))
+    steps = numbered.select("_path", "_row", F.posexplode("_row.nodes").alias("_at", "id"))
+    steps = steps.withColumn("_row", F.when(F.col("_at") == 0, F.col("_row")))
+    steps = steps.join(known, F.col("id") == F.col("_id"), "left")
+    one = F.struct("_at", F.struct("id", *[c for c in nodes.columns if c != "id"]).alias("n"))
+    each = steps.groupBy("_path").agg(F.first("_row", ignorenulls=True).alias("_row"), F.array_sort(F.collect_list(one)).alias("_steps"))
+    return each.select(*[F.col("_row")[c].alias(c) for c in paths.columns], F.transform("_steps", lambda x: x["n"]).alias("steps"))
 
 
 def shortest_and_longest(paths: DataFrame) -> DataFrame:

@@ -134,3 +134,17 @@ def test_contained_names(spark):
     got = {(r.event_id, r.name.lower()) for r in relational.contained_names(events, entities, "batch").collect()}
     said = {k: " ".join(x for x in (title, content) if x is not None).lower() for k, _, title, content in texts}
     assert got == {(k, n.lower()) for k, b, *_ in texts for n, w, c in names if n and w >= 1 and b == c and n.lower() in said[k]}
+
+
+def test_paths_stop_at_origins_that_nothing_leads_to(spark, monkeypatch):
+    """Paths are not joined with all clues once more when each of them begins where no clue leads to; one that begins
+    at an origin on the way is walked on."""
+    walked, cut = [], search.rk.cut_lineage
+    monkeypatch.setattr(search.rk, "cut_lineage", lambda df: (walked.append("nodes" in df.columns), cut(df))[1])
+    ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "id string")
+    clues = spark.createDataFrame([("c1", "o1", 0.5), ("c1", "o1", 0.25), ("o1", "p1", 0.5), ("o1", "p2", 1.0), ("o2", "p2", 1.0)], "src string, dst string, confidence double")
+    got = search.paths_to(clues, ids(["p1", "p2"]), ids(["c1", "c2"]), 4).collect()
+    assert sorted((r.target, *r.nodes, r.confidence) for r in got) == [("p1", "c1", "o1", "p1", 0.25), ("p2", "c1", "o1", "p2", 0.5)]
+    assert sum(walked) == 2
+    got = search.paths_to(clues, ids(["p1"]), ids(["c1", "o1"]), 4).collect()
+    assert sorted("".join(r.nodes) for r in got) == ["c1o1p1", "o1p1"]
