@@ -174,8 +174,8 @@ l AS (SELECT s, t, w / sum(w) OVER (PARTITION BY s) AS p FROM g), n AS (SELECT D
 
 @query(f"WITH {_G}, " + ", ".join(f"r{k} AS (SELECT i, 0.15 / (SELECT count(*) FROM n) + 0.85 * coalesce((SELECT sum(r * p) FROM l JOIN r{k - 1} x ON x.i = l.s WHERE l.t = n.i), 0) AS r FROM n)" for k in range(1, 6)) + " SELECT i AS item_id, round(r, 8) AS rank FROM r5")
 def pagerank_5_iters(spark, d):
-    clues = _clues(spark, d)
-    start = clues.select("item_id").distinct().withColumn("weight", F.lit(1.0))
+    clues = rk.cut_lineage(_clues(spark, d))
+    start = rk.cut_lineage(clues.select("item_id").distinct().withColumn("weight", F.lit(1.0)))
     return rk.shared_pagerank(clues, start, rounds=5, tolerance=0).select("item_id", F.round("rank", 8).alias("rank"))
 
 

@@ -146,3 +146,23 @@ def test_graph_shuffles_lists(spark, monkeypatch):
     ends = rk.shared_degrees(clues)
     assert {r.item_id: r.d for r in ends.collect()} == {r[0]: degree.get(r[0], 0) for r in fine}
     assert shuffled_rows(ends) < len(want) / 2
+
+def test_shared_pagerank_shuffles_messages_only(spark, monkeypatch):
+    """A round shuffles what is sent and got, not the clues; buckets and plain tables give the ranks of the pairs."""
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(40), rng.random() if i % 3 else 0.5) for i in range(300) for _ in range(3)]
+    rows += [(7, 3, 0.5), (7, 3, 0.5), (None, 3, 1.0), (8, None, 1.0), (9, 3, None), (301, 77, 0.4)]
+    clues = spark.createDataFrame(rows, "item_id long, entity_id long, weight double")
+    start = spark.createDataFrame([(i, 1.0 + i % 4) for i in range(303)], "item_id long, weight double")
+    want = {r.item_id: r.rank for r in rk.pagerank(rk.shared_entity_graph(clues.where("weight is not null")), start, rounds=4, tolerance=0).collect()}
+    asked, rank = [], rk._rank
+    monkeypatch.setattr(rk, "_rank", lambda start, flow, *rest: rank(start, lambda ranks: asked.append(flow(ranks)) or asked[-1], *rest))
+    tables = spark.catalog.listTables()
+    for least in (1, 1 << 18):
+        monkeypatch.setattr(rk, "BUCKETED", least, raising=False)
+        got = rk.shared_pagerank(clues, start, rounds=4, tolerance=0).collect()
+        assert {r.item_id: pytest.approx(r.rank, abs=1e-12) for r in got} == want
+        if least == 1:
+            plan = asked[-1]._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 2
+    assert spark.catalog.listTables() == tables
