@@ -15,6 +15,8 @@ _LATIN = "[\\w&&[^一-鿿]]"
 #: ASCII punctuation, for character classes.
 PUNCTUATION = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 _SENTENCE_END = "[!?;。！？；]"
+#: What (?U)\s matches.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _lines(text: Column, each) -> Column:
@@ -128,7 +130,7 @@ def clean_whitespace(text: Column) -> Column:
 
 
 def sentences(text: Column, least: int = 5) -> Column:
-    parts = F.transform(F.split(text, f"{_SENTENCE_END}+"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(F.split(text, f"{_SENTENCE_END}+"), lambda x: F.btrim(x, F.lit(_SPACES)))
     return F.filter(parts, lambda x: F.length(x) >= least)
 
 

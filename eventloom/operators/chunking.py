@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
 from eventloom.operators import relational as rel
+from eventloom.operators.lineage import materialize
+
+#: Chunks whose places are sent to all tasks; beyond it the join shuffles.
+SEND_CHUNKS = 1 << 17
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,11 +79,23 @@ def merge_short(items: Column, length: str, size: str, least: int = 100, most: i
 def sentence_sections(chunks: DataFrame, article: str = "article_id", chunk: str = "chunk_id", rank: str = "rank", content: str = "content") -> DataFrame:
     """(article, chunk, rank, content): sentences of all chunks, their rank running on over an article's chunks.
 
-    Many sentences are numbered by ranges, so that no task holds all of a long article's.
+    Chunks are numbered by how many sentences they have, and each chunk's own follow where it begins: texts are shuffled
+    once at most, and no task holds all of a long article's. Only where rows repeat article, rank and chunk, so that
+    their sentences are ranked among each other, all sentences are numbered.
     """
-    each = chunks.select(article, chunk, F.col(rank).alias("r"), F.posexplode(tx.sentences(F.col(content))).alias("pos", "content"))
-    placed = rel.numbered(each, ["r", chunk, "pos"], "place", [article])
-    return placed.select(article, chunk, (F.col("place") - 1).alias("rank"), "content")
+    cut = tx.sentences(F.col(content))
+    sizes = materialize(chunks.select(article, F.col(rank).alias("r"), chunk, F.size(cut).cast("long").alias("n")).where("n > 0"))
+    if not sizes.groupBy(article, "r", chunk).count().where("count > 1").isEmpty():
+        each = chunks.select(article, chunk, F.col(rank).alias("r"), F.posexplode(cut).alias("pos", "content"))
+        placed = rel.numbered(each, ["r", chunk, "pos"], "place", [article])
+        return placed.select(article, chunk, (F.col("place") - 1).cast("long").alias("rank"), "content")
+    count = sizes.count()
+    ends = rel.numbered(sizes, ["r", chunk], "end", [article], count, size="n")
+    starts = ends.select(F.col(article).alias("of_article"), F.col("r").alias("of_r"), F.col(chunk).alias("of_chunk"), (F.col("end") - F.col("n")).alias("start"))
+    starts = F.broadcast(starts) if count <= SEND_CHUNKS else starts
+    same = F.col(article).eqNullSafe(F.col("of_article")) & F.col(rank).eqNullSafe(F.col("of_r")) & F.col(chunk).eqNullSafe(F.col("of_chunk"))
+    rows = chunks.join(starts, same).select(article, chunk, "start", F.posexplode(cut).alias("pos", "content"))
+    return rows.select(article, chunk, (F.col("start") + F.col("pos")).alias("rank"), "content")
 
 
 def windows(messages: DataFrame, ts: str = "ts", minutes: int = 60, by: tuple[str, ...] = ("conversation_id",), start=None, end=None, inclusive: bool = True) -> DataFrame:

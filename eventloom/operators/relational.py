@@ -218,8 +218,9 @@ def newest_per_key(rows: DataFrame, key: str, ts: str, n: int, tie: str) -> Data
 NUMBER_IN_ONE = 1 << 20
 
 
-def numbered(rows: DataFrame, order: Sequence[Column | str], into: str, by: Sequence[str] = (), count: int | None = None) -> DataFrame:
-    """rows and their place from 1 in a total order, within each group of by.
+def numbered(rows: DataFrame, order: Sequence[Column | str], into: str, by: Sequence[str] = (), count: int | None = None, size: str | None = None) -> DataFrame:
+    """rows and their place from 1 in a total order, within each group of by; with size, a row stands for so many, and
+    its place is the last of theirs.
 
     Beyond NUMBER_IN_ONE rows the whole order is dealt out by range, places count within a range, and each range begins
     where the counts of those before it end: no task holds all rows of a group.
@@ -228,17 +229,18 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], into: str, by: Sequ
     if count is None:
         rows = materialize(rows)  # counted and numbered from one writing
         count = rows.count()
+    place = lambda w: F.row_number().over(w) if size is None else F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if count <= NUMBER_IN_ONE:
-        return rows.withColumn(into, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
+        return rows.withColumn(into, place(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
     dealt = materialize(rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("range_no", F.spark_partition_id()))
-    counts = dealt.groupBy(*by, "range_no").agg(F.count(F.lit(1)).alias("range_n"))
+    counts = dealt.groupBy(*by, "range_no").agg((F.count(F.lit(1)) if size is None else F.sum(size)).alias("range_n"))
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*[F.col(c).alias(f"range_{k}") for k, c in enumerate(by)], F.col("range_no").alias("range_at"), F.coalesce(F.sum("range_n").over(before), F.lit(0)).alias("range_start"))
     same = F.col("range_no") == F.col("range_at")
     for k, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"range_{k}"))
-    place = F.row_number().over(Window.partitionBy(*by, "range_no").orderBy(*order)) + F.col("range_start")
-    return dealt.join(starts, same).withColumn(into, place).select(*rows.columns, into)
+    within = place(Window.partitionBy(*by, "range_no").orderBy(*order))
+    return dealt.join(starts, same).withColumn(into, within + F.col("range_start")).select(*rows.columns, into)
 
 
 def ranked(rows: DataFrame, scores: Sequence[str], tie: str, by: Sequence[str] = ()) -> DataFrame:

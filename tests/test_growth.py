@@ -1,6 +1,7 @@
 """Work that grows with the input: rows that joins make, tables larger than what is sent to tasks, bounded batches."""
 
 import random
+import re
 import tracemalloc
 import unicodedata
 
@@ -8,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from eventloom.functions import text as tx
+from eventloom.operators import chunking as ch
 from eventloom.operators import evaluation as ev
 from eventloom.operators import lexicon as lx
 from eventloom.operators import ranking as rk
+from eventloom.operators import relational as rel
 from eventloom.operators import vector_index as vi
 from eventloom.plans import catalog
 from pyspark.sql import functions as F
@@ -166,3 +169,31 @@ def test_shared_pagerank_shuffles_messages_only(spark, monkeypatch):
             plan = asked[-1]._jdf.queryExecution().executedPlan().toString()
             assert plan.count("Exchange hashpartitioning") == 2
     assert spark.catalog.listTables() == tables
+
+
+def test_document_sentences_shuffle_no_sentences(spark, monkeypatch):
+    """Sentences are placed by their chunks' counts, on every way the chunks can be numbered and joined."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), k if k else None, " . ".join("word　" * rng.randrange(3) + "!" * rng.randrange(2) for _ in range(rng.randrange(40)))) for k in range(300)] + [("a", 500, None), ("c", 501, "")]
+    trimmed = lambda x: x.strip("\t\n\x0b\x0c\r \x85\xa0　")
+    for more in ([], [("a", 7, "twice there! and here"), ("c", 501, "some more; of it")]):
+        want = []
+        for a in ("a", "b", "c", None):
+            chunks = sorted(((k is not None, k, t) for x, k, t in rows + more if x == a and t), key=lambda r: (r[0], r[1] or 0))
+            mine = [(k or 0, p, k, s) for _, k, t in chunks for p, s in enumerate([s for s in map(trimmed, re.split("[!?;]+", t)) if len(s) >= 5])]
+            want += [(a, k, n) for n, (_, _, k, _) in enumerate(sorted(mine, key=lambda r: r[:2]))]
+        docs = spark.createDataFrame(rows + more, "article_id string, chunk_id long, content string").withColumn("rank", F.col("chunk_id"))
+        for send, one in ((1 << 17, 1 << 20), (0, 1 << 20), (0, 10)):
+            monkeypatch.setattr(ch, "SEND_CHUNKS", send, raising=False)
+            monkeypatch.setattr(rel, "NUMBER_IN_ONE", one)
+            out = ch.sentence_sections(docs)
+            got = sorted(((r.article_id, r.chunk_id, r["rank"]) for r in out.collect()), key=str)
+            assert got == sorted(want, key=str) and len(got) > 300
+            assert more or shuffled_rows(out) <= len(rows)
+
+
+def test_sentences_trim_what_regex_trims(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() or c in (0x180E, 0x200B, 0xFEFF)]
+    texts = spark.createDataFrame([(f"{c} {c}middle{c}part{c}{c}",) for c in spaces], "t string")
+    old = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert texts.where(tx.sentences(F.col("t"), 0)[0] != old).count() == 0
