@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from eventloom.operators.lineage import discard, materialize
 
 #: Documents of a zone, folders of terms, parts that a folder's zones are dealt into, zones that a search reads first.
 ZONE_DOCS, BUCKETS, ZONE_PARTS, FIRST_ZONES = 4096, 32, 8, 8
+#: Characters of a zone's tokens from which on its next documents go into blocks of their own.
+BLOCK_CHARS = 1 << 25
 #: What rounding may take from a bound.
 SLACK = 1e-9
 
@@ -77,8 +80,14 @@ class TextIndex:
         """
         key, spark, segment = self.key, self.spark, f"s{uuid.uuid4().hex}"
         kind = docs.schema[key].dataType.simpleString()
-        nth = F.row_number().over(Window.partitionBy(key, F.when(F.col(key).isNull(), F.monotonically_increasing_id())).orderBy(*[F.desc_nulls_last(f) for f in self.fields]))
-        rows = materialize(docs.select(key, *self.fields).withColumn("_nth", nth))
+        rows = docs.select(key, *self.fields)
+        if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+            rows = rows.withColumn("_nth", F.lit(1))
+        else:
+            nth = F.row_number().over(Window.partitionBy(key, F.when(F.col(key).isNull(), F.monotonically_increasing_id())).orderBy(*[F.desc_nulls_last(f) for f in self.fields]))
+            rows = rows.withColumn("_nth", nth)
+        # tokens are cut once and here, not in Python, so that an index and a scan agree on what a token is; none holds a space
+        rows = materialize(rows.select(key, "_nth", *[F.array_join(tx.tokens(F.coalesce(F.col(f), F.lit(""))), " ").alias(f"_{k}") for k, f in enumerate(self.fields)]))
         good = rows.where(f"`{key}` is not null and _nth = 1")
         known = self._table("docs", f"`{key}` {kind}, segment string").where(F.col("segment").isin(self._segments()))
         old = known.join(self._marks(kind), [key, "segment"], "left_anti").join(good.select(key), key, "left_semi")
@@ -87,7 +96,7 @@ class TextIndex:
         zones = max(1, -(-count // ZONE_DOCS))
 
         self._postings(good, segment, zones)
-        lengths = F.array(*[F.struct(F.lit(f).alias("field"), tx.count_tokens(F.coalesce(F.col(f), F.lit(""))).cast("long").alias("dl")) for f in self.fields])
+        lengths = F.array(*[F.struct(F.lit(f).alias("field"), F.when(F.col(f"_{k}") != "", F.octet_length(f"_{k}") - F.octet_length(F.replace(F.col(f"_{k}"), F.lit(" "), F.lit(""))) + 1).otherwise(0).cast("long").alias("dl")) for k, f in enumerate(self.fields)])
         written = materialize(good.select(key, lengths.alias("lengths")))
         written.select(key, F.lit(segment).alias("segment")).write.mode("append").parquet(f"{self.path}/docs")
         old.withColumn("by", F.lit(segment)).write.mode("append").parquet(f"{self.path}/marks")
@@ -98,36 +107,56 @@ class TextIndex:
         return rows.join(old.select(key, F.lit(True).alias("_old")).distinct(), key, "left").select(key, status.alias("status"))
 
     def _postings(self, docs: DataFrame, segment: str, zones: int) -> None:
+        """Writes the blocks of docs (key, _0, _1, ...), the fields' tokens joined by spaces. A zone's documents meet in a
+        task and leave it as blocks; a zone of more than BLOCK_CHARS makes several blocks for a term."""
         key, fields = self.key, self.fields
         kind = docs.schema[key].dataType.simpleString()
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks(zone: int, ids: pa.Array, name: str, joined: pa.Array) -> Iterator[pa.RecordBatch]:
+            cut = pc.split_pattern(joined, " ")
+            of, words = pc.list_parent_indices(cut).to_numpy(), pc.list_flatten(cut).dictionary_encode()
+            dl = np.where(pc.equal(joined, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(cut).to_numpy()).astype(np.int32)
+            held = dl[of] > 0
+            both, tf = np.unique(words.indices.to_numpy()[held].astype(np.int64) * len(dl) + of[held], return_counts=True)
+            if not len(both):
+                return
+            term, doc, tf = both // len(dl), both % len(dl), tf.astype(np.int32)
+            starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+            postings = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf), pa.array(dl[doc])], ["id", "tf", "dl"])
+            postings = pa.ListArray.from_arrays(pa.array(np.append(starts, len(both)).astype(np.int32)), postings)
+            n, size = np.diff(np.append(starts, len(both))), len(starts)
+            columns = [pa.array(np.full(size, zone, np.int32)), pa.array([name] * size), words.dictionary.take(pa.array(term[starts])), pa.array(n), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(dl[doc], starts)), postings]
+            made = pa.RecordBatch.from_arrays(columns, ["zone", "field", "term", "n", "most", "least", "postings"])
+            for at in range(0, size, 4096):
+                yield made.slice(at, 4096)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size, zone = [], 0, None
+
+            def flushed() -> Iterator[pa.RecordBatch]:
+                if held:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    for k, name in enumerate(fields):
+                        yield from blocks(zone, table.column(1).chunk(0), name, table.column(k + 2).chunk(0))
+
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    place, field, term, tf, dl = [], [], [], [], []
-                    for f, name in enumerate(fields):
-                        for row, joined in enumerate(part.column(f + 2).to_pylist()):
-                            found = joined.split(" ") if joined else []
-                            for t, n in Counter(found).items():
-                                place.append(row)
-                                field.append(name)
-                                term.append(t)
-                                tf.append(n)
-                                dl.append(len(found))
-                    where = pa.array(place, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(where), part.column(1).take(where), pa.array(field, pa.string()), pa.array(term, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())],
-                        [key, "zone", "field", "term", "tf", "dl"],
-                    )
-
-        # tokens are cut here, not in Python, so that an index and a scan agree on what a token is; none holds a space
-        cut = docs.select(key, F.pmod(F.xxhash64(key), F.lit(zones)).cast("int").alias("zone"), *[F.array_join(tx.tokens(F.coalesce(F.col(f), F.lit(""))), " ").alias(f"_{k}") for k, f in enumerate(fields)])
-        rows = cut.mapInArrow(count, f"`{key}` {kind}, zone int, field string, term string, tf int, dl int")
-        group = ["bucket", "part", "zone", "field", "term"]
-        rows = rows.withColumns({"bucket": (F.crc32("term") % BUCKETS).cast("int"), "part": F.pmod(F.col("zone"), F.lit(ZONE_PARTS))}).repartition("bucket", "part")
-        blocks = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.collect_list(F.struct(F.col(key).alias("id"), "tf", "dl")).alias("postings"))
-        blocks.withColumn("segment", F.lit(segment)).drop("part").sortWithinPartitions("bucket", "term", "zone").write.partitionBy("segment", "bucket").mode("append").parquet(f"{self.path}/postings")
+                zone_of = batch.column(0).to_numpy()
+                cuts = np.append(np.flatnonzero(np.diff(zone_of)) + 1, len(zone_of)).tolist()
+                for low, high in zip([0, *cuts], cuts, strict=False):
+                    for at in range(low, high, 512):
+                        part = batch.slice(at, min(512, high - at))
+                        if size > BLOCK_CHARS or zone != zone_of[low]:
+                            yield from flushed()
+                            held, size, zone = [], 0, int(zone_of[low])
+                        held.append(part)
+                        size += sum(pc.sum(pc.binary_length(part.column(k + 2))).as_py() for k in range(len(fields)))
+            yield from flushed()
+
+        dealt = docs.select(F.pmod(F.xxhash64(key), F.lit(zones)).cast("int").alias("zone"), key, *[f"_{k}" for k in range(len(fields))])
+        dealt = dealt.repartition("zone").sortWithinPartitions("zone")
+        made = dealt.mapInArrow(run, f"zone int, field string, term string, n long, most int, least int, postings array<struct<id:{kind},tf:int,dl:int>>")
+        made = made.withColumns({"bucket": (F.crc32("term") % BUCKETS).cast("int"), "part": F.pmod(F.col("zone"), F.lit(ZONE_PARTS))}).repartition("bucket", "part")
+        made.withColumn("segment", F.lit(segment)).drop("part").sortWithinPartitions("bucket", "term", "zone").write.partitionBy("segment", "bucket").mode("append").parquet(f"{self.path}/postings")
 
     def merge(self) -> str:
         """Writes all documents' latest versions as one segment, and notes only it: counts of replaced versions leave
@@ -185,7 +214,8 @@ class TextIndex:
             return out.join(marks, [key, "segment"], "left_anti").select(key, "score")
 
         best = lambda rows: rows.orderBy(F.desc("score"), key).limit(k)
-        bounds = blocks.groupBy("segment", "zone", "field").agg(F.sum(impact(F.col("most"), F.col("least"))).alias("bound")).groupBy("segment", "zone").agg(F.max("bound").alias("bound"))
+        heads = blocks.groupBy("segment", "zone", "field", "term").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+        bounds = heads.groupBy("segment", "zone", "field").agg(F.sum(impact(F.col("most"), F.col("least"))).alias("bound")).groupBy("segment", "zone").agg(F.max("bound").alias("bound"))
         if k is None:
             if min_score is None:
                 return score(blocks)

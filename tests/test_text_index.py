@@ -61,3 +61,20 @@ def test_marks_and_nothing(spark, tmp_path):
     assert empty.search(["two"], 3).count() == 0
     empty.append(docs.where(F.col("id") == 2))
     assert empty.search(["two"], 3).count() == 1
+
+
+def test_blocks_cut_short(spark, tmp_path, monkeypatch):
+    """Texts are cut into tokens once, and zones of many characters make several blocks for a term."""
+    monkeypatch.setattr(text_index.tx, "count_tokens", None)
+    docs = spark.createDataFrame(texts(2000, 3), "id long, title string, body string")
+    indexes = []
+    for k, most in enumerate((1 << 25, 2000)):
+        monkeypatch.setattr(text_index, "BLOCK_CHARS", most, raising=False)
+        indexes.append(text_index.TextIndex.build(docs, "id", ["title", "body"], f"file://{tmp_path}/index{k}"))
+    monkeypatch.undo()
+    want = {r.id: r.score for r in ranking.bm25(docs, "id", BOOSTS, QUERY).collect()}
+    few, many = (index._blocks(index._segments()) for index in indexes)
+    assert few.count() == few.select("field", "term").distinct().count() < many.count()
+    for index in indexes:
+        assert dict(pairs(index.search(QUERY, boosts=BOOSTS))) == want
+        assert [r.score for r in index.search(QUERY, 10, BOOSTS).collect()] == pytest.approx(sorted(want.values(), reverse=True)[:10])
