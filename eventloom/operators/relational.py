@@ -232,15 +232,23 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], into: str, by: Sequ
     place = lambda w: F.row_number().over(w) if size is None else F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
     if count <= NUMBER_IN_ONE:
         return rows.withColumn(into, place(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
-    dealt = materialize(rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("range_no", F.spark_partition_id()))
-    counts = dealt.groupBy(*by, "range_no").agg((F.count(F.lit(1)) if size is None else F.sum(size)).alias("range_n"))
+    dealt = rows.repartitionByRange(*[F.col(c) for c in by], *order)
+    if size is None:  # a row's number within its sorted range is written with it: rows are shuffled once
+        dealt = dealt.sortWithinPartitions(*[F.col(c) for c in by], *order).withColumn("range_id", F.monotonically_increasing_id())
+        dealt = materialize(dealt.withColumns({"range_no": F.shiftright("range_id", 33), "range_row": F.col("range_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("range_id"))
+        each, first = F.count(F.lit(1)), F.min("range_row")
+    else:
+        dealt = materialize(dealt.withColumn("range_no", F.spark_partition_id()))
+        each, first = F.sum(size), F.lit(0)
+    counts = dealt.groupBy(*by, "range_no").agg(each.alias("range_n"), first.alias("range_first"))
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(c).alias(f"range_{k}") for k, c in enumerate(by)], F.col("range_no").alias("range_at"), F.coalesce(F.sum("range_n").over(before), F.lit(0)).alias("range_start"))
+    starts = counts.select(*[F.col(c).alias(f"range_{k}") for k, c in enumerate(by)], F.col("range_no").alias("range_at"), (F.coalesce(F.sum("range_n").over(before), F.lit(0)) - F.col("range_first")).alias("range_start"))
     same = F.col("range_no") == F.col("range_at")
     for k, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"range_{k}"))
-    within = place(Window.partitionBy(*by, "range_no").orderBy(*order))
-    return dealt.join(starts, same).withColumn(into, within + F.col("range_start")).select(*rows.columns, into)
+    within = F.col("range_row") + 1 if size is None else place(Window.partitionBy(*by, "range_no").orderBy(*order))
+    # a row for each range, where there are no groups
+    return dealt.join(starts if by else F.broadcast(starts), same).withColumn(into, within + F.col("range_start")).select(*rows.columns, into)
 
 
 def ranked(rows: DataFrame, scores: Sequence[str], tie: str, by: Sequence[str] = ()) -> DataFrame:

@@ -70,7 +70,7 @@ def reranked_sections(spark, d):
     chunks = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), (F.col("o_totalprice") / 1000000.0).alias("similarity"), F.lit(None).cast("double").alias("bm25"))
     p = F.col("p_partkey")
     keys = table(spark, d, "part").select(p.alias("entity_id"), (1.0 / (1 + p % 7)).alias("weight"), (p % 3).alias("hop"))
-    mentions = table(spark, d, "lineitem").groupBy(F.concat(F.lit("e"), F.col("l_orderkey").cast("string")).alias("event_id"), F.col("l_partkey").alias("entity_id")).agg(F.count(F.lit(1)).alias("count"))
+    mentions = table(spark, d, "lineitem").select(F.concat(F.lit("e"), F.col("l_orderkey").cast("string")).alias("event_id"), F.col("l_partkey").alias("entity_id"), F.lit(1).alias("count"))
     events = table(spark, d, "orders").select(F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("event_id"), F.col("o_orderkey").alias("chunk_id"))
     return search.rerank_sections(chunks, keys, mentions, events).select("item_id", F.round("weight", 8).alias("weight"))
 

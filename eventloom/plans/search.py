@@ -150,9 +150,10 @@ def rerank(items: DataFrame, keys: DataFrame, edges: DataFrame, cfg: SearchConfi
 def rerank_sections(chunks: DataFrame, keys: DataFrame, edges: DataFrame, events: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """chunks (item_id, similarity, bm25 or null) reranked by the clues of their events, strongest first.
 
-    events: (event_id, chunk_id); edges: (event_id, entity_id, count). No similarity threshold holds for chunks.
+    events: (event_id, chunk_id); edges: (event_id, entity_id, count), whose counts are summed. No similarity threshold holds for chunks.
     """
-    own = edges.join(events, "event_id").groupBy(F.col("chunk_id").alias("item_id"), "entity_id").agg(F.sum("count").alias("count"))
+    own = edges.join(events, "event_id").select(F.col("chunk_id").alias("item_id"), "entity_id", "count")
+    own = own.repartition("item_id").groupBy("item_id", "entity_id").agg(F.sum("count").alias("count"))  # rerank sums by item, too
     return rerank(chunks, keys, own, replace(cfg, rerank_threshold=float("-inf")))
 
 

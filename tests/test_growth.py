@@ -197,3 +197,13 @@ def test_sentences_trim_what_regex_trims(spark):
     texts = spark.createDataFrame([(f"{c} {c}middle{c}part{c}{c}",) for c in spaces], "t string")
     old = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
     assert texts.where(tx.sentences(F.col("t"), 0)[0] != old).count() == 0
+
+
+def test_numbered_rows_are_shuffled_once(spark, monkeypatch):
+    """Beyond one window rows are dealt by range and numbered as they are written, not shuffled again by range."""
+    monkeypatch.setattr(rel, "NUMBER_IN_ONE", 10)
+    rows = spark.range(2000).select("id", ((F.col("id") * 7919) % 500).alias("v"))
+    got = rel.numbered(rows, [F.desc("v"), "id"], "place")
+    assert shuffled_rows(got) <= 100
+    want = sorted(range(2000), key=lambda k: (-(k * 7919 % 500), k))
+    assert {(r.id, r.place) for r in got.collect()} == {(k, n) for n, k in enumerate(want, 1)}
